@@ -78,8 +78,20 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_leaks(table(spark, d, "documents", "doc_id"), p8_matches(spark, d)).select("doc_id")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    from loomlink.llm.spans import shared_spans
+
+    return shared_spans(table(spark, d, "documents", "doc_id", "text"))
+
+
+def p9_share(spark: SparkSession, d: str) -> DataFrame:
+    from loomlink.llm.spans import shared_share
+
+    return shared_share(table(spark, d, "documents", "doc_id", "text"), p9_found(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_top5, p5_found, p5_forms, p6_splits, p6_shares, p7_containers, p8_found, p8_matches, p8_clean)
+    f.__name__: f for f in (p2_found, p2_top5, p5_found, p5_forms, p6_splits, p6_shares, p7_containers, p8_found, p8_matches, p8_clean, p9_found, p9_share)
 }
 
 _BEST = """
