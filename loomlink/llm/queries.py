@@ -10,6 +10,19 @@ from pyspark.sql import functions as F
 from loomlink.sources import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from loomlink.llm.names import link_names
+
+    return link_names(table(spark, d, "prepared", "gid", "name", "country", "name_key", "split").where("split = 'test'"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from loomlink.llm.addresses import link_addresses
+
+    rows = table(spark, d, "prepared", "gid", "addr", "country", "addr_roman", "split").where("split = 'test'")
+    return link_addresses(rows, table(spark, d, "places"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_top5(spark, d).select("s1", "rid")
 
@@ -91,7 +104,7 @@ def p9_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_top5, p5_found, p5_forms, p6_splits, p6_shares, p7_containers, p8_found, p8_matches, p8_clean, p9_found, p9_share)
+    f.__name__: f for f in (p1_found, p3_found, p2_found, p2_top5, p5_found, p5_forms, p6_splits, p6_shares, p7_containers, p8_found, p8_matches, p8_clean, p9_found, p9_share)
 }
 
 _BEST = """
