@@ -111,12 +111,13 @@ def _word_kind(word: str) -> tuple[str, str]:
         return "line", _SHORT_LINES[f]
     if f in _GIVEN:
         return "given", _GIVEN[f]
-    if len(f) >= 5:
+    if len(f) >= 4:
         for whole in ("private", "limited", "incorporated", "corporation", "company"):
             if word[0] == whole[0] and ratio(word, whole) >= 0.85 or f == fold(whole):
                 return "none", ""
-        best = max(((ratio(f, k), v, "line") for k, v in _LINE_FOLDS.items() if v[0] == word[0] or k[-3:] == f[-3:] and len(f) > 6), default=(0, "", ""))
-        best = max(best, max(((ratio(f, k), v, "given") for k, v in _GIVEN_FOLDS.items() if k[0] == f[0] or k[-3:] == f[-3:]), default=(0, "", "")))
+        near = [(max(ratio(f, k), ratio(word, v)), v, "line") for k, v in _LINE_FOLDS.items() if v[0] == word[0] or k[-3:] == f[-3:] and len(f) > 6]
+        near += [(max(ratio(f, k), ratio(word, v)), v, "given") for k, v in _GIVEN_FOLDS.items() if k[0] == f[0] or k[-3:] == f[-3:]]
+        best = max(near, default=(0, "", ""))
         if best[0] >= 0.8:
             return best[2], best[1]
     return "word", f
@@ -134,7 +135,7 @@ def parse_name(text: str) -> Name:
     tokens = [t for t in _SPLIT.findall(text) if not t.isdigit()]
     for i, t in enumerate(tokens):
         if len(t) == 1:
-            if not given and not words and t not in "m" and len(tokens) > 2 and i == 0:
+            if not given and len(tokens) > 2 and (i == 0 or f", {t}" in text):
                 given = t
             continue
         kind, form = _word_kind(t)
@@ -150,6 +151,9 @@ def parse_name(text: str) -> Name:
                 for k, v in _GIVEN_FOLDS.items():
                     if form.startswith(k) and len(form) >= len(k) + 4:
                         given, form = v, form[len(k) :]
+                for k, v in _GIVEN.items() if m and not given else ():
+                    if form.startswith(k) and len(k) >= 3 and len(form) >= len(k) + 10:
+                        given, form = v, form[len(k) :]
             if len(form) >= 2 and form.isascii() and form.isalpha():
                 words.append(form)
     if not words and given and len(given) > 1 and not line:

@@ -22,7 +22,8 @@ from loomlink.llm.lcs import TextColumn, lcs_pairs
 from loomlink.session import cut
 
 SUFFIX, BESIDE = 4, 3
-ALIKE, CONTAINED = 0.84, 0.92
+ALIKE, CONTAINED = 0.78, 0.88
+ALIKE_BESIDE, CONTAINED_BESIDE = 0.62, 0.72
 
 
 def form_of(name: Name) -> str:
@@ -65,7 +66,7 @@ def _keys_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"block": np.array(keys, np.uint64).view(np.int64), "form_id": df["form_id"].to_numpy()[at], "form": df["form"].to_numpy()[at]})
 
 
-def same_name(df: pd.DataFrame, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def same_name(df: pd.DataFrame, left: np.ndarray, right: np.ndarray, alike: float = ALIKE, contained: float = CONTAINED) -> np.ndarray:
     """Whether the forms at ``left`` and ``right`` spell the name of one organisation."""
     if not len(left):
         return np.zeros(0, bool)
@@ -91,13 +92,31 @@ def same_name(df: pd.DataFrame, left: np.ndarray, right: np.ndarray) -> np.ndarr
         common = lcs_pairs(x, a, b, y)
         short, long = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
         # A whole name inside another: a word was left out, or the line of business is written on to it.
-        inside = (common >= CONTAINED * short) & (short >= 10) & ((count[a] != count[b]) | (count[a] == 1)) & (long <= 2 * short)
-        good = (2 * common >= ALIKE * (short + long)) | inside
+        inside = (common >= contained * short) & (short >= 10) & ((count[a] != count[b]) | (count[a] == 1)) & (long <= 2 * short)
+        good = (2 * common >= alike * (short + long)) | inside
         out[spots[good]] = True
         spots = spots[~good]
     return out
 
 
+def same_name_beside(df: pd.DataFrame, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """``same_name`` for forms that both spell a third one's name: they may differ by the slips of both."""
+    return same_name(df, left, right, ALIKE_BESIDE, CONTAINED_BESIDE)
+
+
+def link_beside(forms: DataFrame, links: DataFrame) -> DataFrame:
+    """Further pairs ``a, b`` of forms that link to one and the same most frequent form.
+
+    ``forms(form_id, country, form, n)`` holds the number ``n`` of rows of each form.
+    """
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(forms.select(F.col("form_id").alias("a"), F.col("form_id").alias("b")))
+    ranked = both.join(forms.select(F.col("form_id").alias("b"), "n"), "b")
+    hub = cut(ranked.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("m"), "b"))["b"].alias("hub")))
+    top = hub.select(F.col("a").alias("hub"), F.col("hub").alias("block"))
+    blocks = forms.select(F.col("form_id").alias("a"), "form").join(hub, "a").join(top, "hub").select("block", F.col("a").alias("form_id"), "form")
+    return blocks.repartition("block").sortWithinPartitions("block").mapInPandas(compare_blocks(same_name_beside, "block", "form_id"), "a bigint, b bigint")
+
+
 def name_forms(df: DataFrame, key: str, name: str, country: str, spelling: str) -> DataFrame:
     """``gid, form_id, form, country, spelling`` of the rows with a proper word in their name."""
     rows = df.select(
@@ -135,8 +154,10 @@ def link_names(df: DataFrame, key: str = "gid", name: str = "name", country: str
     are unique bigints. Extra columns are not read.
     """
     rows = cut(name_forms(df, key, name, country, spelling).select("gid", "form_id", "form", "country", F.xxhash64("spelling").alias("sp")))
-    forms = rows.groupBy("form_id").agg(F.min("form").alias("form"), F.min("country").alias("country"))
-    links = link_forms(forms)
+    forms = rows.groupBy("form_id").agg(F.min("form").alias("form"), F.min("country").alias("country"), F.count(F.lit(1)).alias("n"))
+    forms = cut(forms)
+    links = cut(link_forms(forms))
+    links = links.unionByName(link_beside(forms, links)).distinct()
     left = rows.select(F.col("form_id").alias("a"), F.col("gid").alias("ga"), F.col("sp").alias("sa"))
     right = rows.select(F.col("form_id").alias("b"), F.col("gid").alias("gb"), F.col("sp").alias("sb"))
     across = links.join(left, "a").join(right, "b")
