@@ -31,14 +31,17 @@ def form_of(name: Name) -> str:
     return f"{name.given}|{name.line}|{' '.join(name.words)}"
 
 
-def suffix_keys(words: tuple[str, ...] | list[str]) -> list[str]:
-    """Index terms of a name: the suffix of a word with the beginning of another (or its own, for one word), and two suffixes."""
+def suffix_keys(words: tuple[str, ...] | list[str], line: str = "") -> list[str]:
+    """Index terms of a name: the suffix of a word with the beginning of another (or its own, for one word), two suffixes,
+    and a suffix with the line of business and the first letter of another word."""
     n = len(words)
     if n == 1:
         return [words[0][-SUFFIX:] + ">" + words[0][:BESIDE]]
     keys = {w[-SUFFIX:] + ">" + v[:BESIDE] for i, w in enumerate(words) for j, v in enumerate(words) if i != j}
     ends = sorted(w[-BESIDE:] for w in words)
     keys.update(a + "<" + b for i, a in enumerate(ends) for b in ends[i + 1 :])
+    if line:
+        keys.update(f"{w[-SUFFIX:]}={v[0]}{line}" for i, w in enumerate(words) for j, v in enumerate(words) if i != j)
     if n >= 3:
         # Two words that a blank too many has split, or a whole name written as one.
         keys.add(words[-1][-SUFFIX:] + ">" + words[0][:BESIDE])
@@ -59,7 +62,8 @@ def _keys_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, keys = [], []
         for i, (country, form) in enumerate(zip(df["country"], df["form"])):
             seed = country + ":"
-            for k in suffix_keys(form.rpartition("|")[2].split()):
+            _, line, words = form.split("|")
+            for k in suffix_keys(words.split(), line):
                 rows.append(i)
                 keys.append(digest(seed + k))
         at = np.array(rows, np.int64)
@@ -128,7 +132,7 @@ def name_forms(df: DataFrame, key: str, name: str, country: str, spelling: str)
 
 def link_forms(forms: DataFrame, too_common: int = 400) -> DataFrame:
     """``a, b`` (a < b): pairs of ``form_id`` of ``forms(form_id, country, form)``, each id once, that are one name."""
-    keys = cut(forms.select("country", "form", "form_id").mapInPandas(_keys_of, "block bigint, form_id bigint, form string"))
+    keys = forms.select("country", "form", "form_id").mapInPandas(_keys_of, "block bigint, form_id bigint, form string")
     schema = "a bigint, b bigint"
 
     def compared(blocks: DataFrame) -> DataFrame:
