@@ -23,6 +23,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return link_addresses(rows, table(spark, d, "places"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_matches(spark, d).select("s1", "rid")
+
+
+def p4_matches(spark: SparkSession, d: str) -> DataFrame:
+    from loomlink.llm.linkage import link_records
+
+    rows = table(spark, d, "records", "row_id", "entity_id", "name", "addr", "country", "src", "split").where("split = 'test'")
+    return link_records(rows, table(spark, d, "places"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_top5(spark, d).select("s1", "rid")
 
@@ -104,7 +115,7 @@ def p9_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p3_found, p2_found, p2_top5, p5_found, p5_forms, p6_splits, p6_shares, p7_containers, p8_found, p8_matches, p8_clean, p9_found, p9_share)
+    f.__name__: f for f in (p1_found, p3_found, p4_found, p4_matches, p2_found, p2_top5, p5_found, p5_forms, p6_splits, p6_shares, p7_containers, p8_found, p8_matches, p8_clean, p9_found, p9_share)
 }
 
 _BEST = """
