@@ -41,7 +41,7 @@ def connected_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     for _ in range(rounds):
         met = frontier.join(adjacent, "node").groupBy("to", "label").agg(F.lit(1).alias("x")).select(F.col("to").alias("node"), "label")
         known = labels.select("node", F.col("label").alias("held"))
-        met = cut(met.join(known, "node", "left").withColumn("winner", F.coalesce("held", F.min("label").over(Window.partitionBy("node")))))
+        met = cut(met.join(known, "node", "left").withColumn("winner", F.coalesce("held", F.min(order("label")).over(Window.partitionBy("node"))["v"])))
         collisions.append(met.where("label <> winner").select(F.col("label").alias("a"), F.col("winner").alias("b")).distinct())
         frontier = met.where("held is null and label = winner").select("node", "label")
         if frontier.isEmpty():
@@ -57,8 +57,9 @@ def connected_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     if joined.isEmpty():
         solved = labels.select("node", F.col("label").alias("component"))
     else:
-        merged = connected_components(joined, rounds).select(F.col("node").alias("label"), "component")
-        solved = labels.join(merged, "label", "left").select("node", F.coalesce("component", "label").alias("component"))
+        # The winner of a meeting has the least hash, so the stars that meetings make are solved in one level.
+        merged = cut(connected_components(joined, rounds).select(F.col("node").alias("label"), "component"))
+        solved = cut(labels.join(merged, "label", "left").select("node", F.coalesce("component", "label").alias("component")))
     return nodes.join(solved, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
