@@ -124,7 +124,40 @@ with s as (select s1, rid, max(p) as p from test_scores where not isnan(p) and p
   r as (select s1, rid, s.p::double as p, row_number() over (partition by s1 order by s.p desc, rid)::int as place from c join s using (s1, rid))
 """
 
+_WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{M}}\\p{{Nd}}]+')"
+_LEAKS = (
+    f"with i as (select item_id, {_WORDS.format('text')} as w from eval_items where item_id is not null and text is not null), d as (select doc_id, {_WORDS.format('text')} as w from documents where doc_id is not null and text is not null), "
+    "ig as (select distinct item_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) as g from i where len(w) >= 13), "
+    "dg as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) as g from d where len(w) >= 13), "
+    "f as (select distinct doc_id, item_id from dg join ig using (g)) "
+)
+_SPANS = """
+with t as (select distinct doc_id, text from documents where doc_id is not null and length(text) >= 100),
+  w as (select doc_id, k, substr(text, k + 1, 100) as s from (select doc_id, text, unnest(range(0, length(text) - 99)) as k from t)),
+  m as (select s from w group by s having count(distinct doc_id) > 1),
+  h as (select distinct doc_id, k from w semi join m using (s)),
+  g as (select *, case when k <= lag(k) over (partition by doc_id order by k) + 100 then 0 else 1 end as fresh from h),
+  r as (select *, sum(fresh) over (partition by doc_id order by k) as run from g)
+select doc_id, min(k)::bigint as begin_at, (max(k) + 100)::bigint as end_at from r group by doc_id, run
+"""
+
+
+def _odd_sql(field: str) -> str:
+    """Rows whose ``field`` needs another form, by what its characters are and what stands beside them."""
+    invisible = "\\x{AD}\\x{34F}\\x{61C}\\x{180E}\\x{200B}\\x{200E}\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{206F}\\x{FEFF}\\x{FE00}-\\x{FE0F}"
+    blank = "\\t\\n\\r\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+    forms = "\\x{FF10}-\\x{FF19}\\x{FF21}-\\x{FF3A}\\x{FF41}-\\x{FF5A}\\x{FB00}-\\x{FB06}\\x{2160}-\\x{217F}\\x{1D400}-\\x{1D7FF}"
+    latin, indic, joiner = "A-Za-z\\x{C0}-\\x{24F}\\x{1E00}-\\x{1EFF}", "\\x{900}-\\x{DFF}", "\\x{200C}\\x{200D}"
+    foreign = f"[^\\P{{L}}{latin}\\x{{AA}}\\x{{BA}}{forms}{indic}]"
+    either = f"[{invisible}{blank}{forms}]|[{latin}][\\x{{300}}-\\x{{36F}}]|[{latin}]{foreign}|{foreign}[{latin}]|(^|[^{indic}{joiner}])[{joiner}]|[{joiner}]($|[^{indic}{joiner}])"
+    return f"select row_id, '{field}' as field from records where regexp_matches({field}, '{either}')"
+
+
 SQL: dict[str, str] = {
     "p2_found": _BEST + "select s1, rid from r where place <= 5",
     "p2_top5": _BEST + "select s1, rid, p, place from r where place <= 5",
+    "p5_found": _odd_sql("name") + " union all " + _odd_sql("addr"),
+    "p8_found": _LEAKS + "select doc_id, item_id from f",
+    "p8_clean": _LEAKS + "select doc_id from documents where doc_id not in (select doc_id from f)",
+    "p9_found": _SPANS,
 }

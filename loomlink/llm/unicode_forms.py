@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlink.session import cut
+
 # Letters of other scripts, and Latin ones outside the ordinary alphabet, with the
 # ordinary letters that they look like.
 LOOKALIKES = (
@@ -136,9 +138,11 @@ def canonical_values(values: DataFrame) -> DataFrame:
     the empty text is its own class.
     """
     counted = values.where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    pattern = suspicious_pattern()
-    plain = counted.where(~F.col("value").rlike(pattern)).select("value", F.col("value").alias("mapped"), F.lit(False).alias("odd"), "n")
-    odd = counted.where(F.col("value").rlike(pattern)).mapInPandas(_map_values, "value string, mapped string, odd boolean, n bigint")
+    # Text without a byte above 127 and without controls, most of all text, needs no look at the long character class.
+    ascii_only = (F.octet_length("value") == F.char_length("value")) & ~F.col("value").rlike("[\\x00-\\x1f\\x7f]")
+    counted = cut(counted.withColumn("suspicious", F.when(ascii_only, False).otherwise(F.col("value").rlike(suspicious_pattern()))))
+    plain = counted.where("not suspicious").select("value", F.col("value").alias("mapped"), F.lit(False).alias("odd"), "n")
+    odd = counted.where("suspicious").select("value", "n").mapInPandas(_map_values, "value string, mapped string, odd boolean, n bigint")
     spelled = plain.unionByName(odd).withColumn("form", F.collate("mapped", "UNICODE"))
     members = spelled.groupBy("form", "mapped").agg(F.sum("n").alias("n"))
     chosen = members.groupBy("form").agg(F.min(F.struct((-F.col("n")).alias("k"), F.col("mapped").alias("m")))["m"].alias("canonical"))
