@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def pairs_within(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,3 +76,10 @@ def compare_blocks(verify: Callable[[pd.DataFrame, np.ndarray, np.ndarray], np.n
                 yield pd.DataFrame({"a": np.concatenate([o[0] for o in out]), "b": np.concatenate([o[1] for o in out])})
 
     return work
+
+
+def split_common(rows: DataFrame, fields: list[Column], most: int) -> DataFrame:
+    """``rows`` with every ``block`` of more than ``most`` rows divided by each of the ``fields``; a row then lies in as many blocks."""
+    common = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("block")
+    divided = F.explode(F.array(*(F.xxhash64("block", F.lit(i), f) for i, f in enumerate(fields))))
+    return rows.join(common, "block", "left_anti").unionByName(rows.join(common, "block", "left_semi").withColumn("block", divided))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlink.llm.blocks import compare_blocks
+from loomlink.llm.blocks import compare_blocks, split_common
 from loomlink.llm.fields import Name, parse_name
 from loomlink.llm.lcs import TextColumn, lcs_pairs
 from loomlink.session import cut
@@ -118,6 +118,8 @@ def link_beside(forms: DataFrame, links: DataFrame) -> DataFrame:
     hub = cut(ranked.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("m"), "b"))["b"].alias("hub")))
     top = hub.select(F.col("a").alias("hub"), F.col("hub").alias("block"))
     blocks = forms.select(F.col("form_id").alias("a"), "form").join(hub, "a").join(top, "hub").select("block", F.col("a").alias("form_id"), "form")
+    words = F.split("form", "\\|")[2]
+    blocks = split_common(blocks, [F.substring(words, 1, 3), F.substring(words, -3, 3)], 2000)
     return blocks.repartition("block").sortWithinPartitions("block").mapInPandas(compare_blocks(same_name_beside, "block", "form_id"), "a bigint, b bigint")
 
 
