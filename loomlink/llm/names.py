@@ -148,7 +148,7 @@ def link_forms(forms: DataFrame, too_common: int = 400) -> DataFrame:
         refine = [F.concat(part[0], F.lit("/"), part[1]), F.substring(part[2], 1, 7), F.substring(part[2], -7, 7)]
         hot = keys.join(common, "block").select(F.explode(F.array(*(F.xxhash64("block", F.lit(i), r) for i, r in enumerate(refine)))).alias("block"), "form_id", "form")
         again = hot.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > too_common).select("block")
-        still = hot.join(again, "block", "left_semi").select(F.xxhash64("block", part[2]).alias("block"), "form_id", "form")
+        still = hot.join(again, "block", "left_semi").select(F.xxhash64("block", F.array_join(F.array_sort(F.split(part[2], " ")), " ")).alias("block"), "form_id", "form")
         found = found.unionByName(compared(hot.join(again, "block", "left_anti").unionByName(still)))
     return found.distinct()
 
