@@ -31,6 +31,20 @@ def ratio_of(a: str, b: str) -> float:
     return 200.0 * _common(a, b) / total if total else 100.0
 
 
+def _starts(a: str, b: str) -> list[int]:
+    """Longest common subsequence of ``a`` with the first 1, 2, ... letters of ``b``."""
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        masks[ch] = masks.get(ch, 0) | 1 << i
+    rows = full = (1 << len(a)) - 1
+    out = []
+    for ch in b:
+        hit = rows & masks.get(ch, 0)
+        rows = ((rows + hit) | (rows - hit)) & full
+        out.append(len(a) - rows.bit_count())
+    return out
+
+
 def partial_ratio_of(a: str, b: str) -> float:
     """The best ratio of the shorter text with a stretch of the longer one of that length, or cut off at an end."""
     short, long = (a, b) if len(a) <= len(b) else (b, a)
@@ -38,10 +52,17 @@ def partial_ratio_of(a: str, b: str) -> float:
         return 100.0 if not long else 0.0
     if short in long:
         return 100.0
-    m = len(short)
-    best = max(ratio_of(short, long[max(0, i) : i + m]) for i in range(1 - m, len(long)))
-    if len(a) == len(b):
-        best = max(best, max(ratio_of(long, short[max(0, i) : i + m]) for i in range(1 - m, m)))
+    m, n = len(short), len(long)
+    # One pass gives all stretches cut off at an end.
+    starts, ends = _starts(short, long), _starts(short[::-1], long[::-1])
+    runs = [starts, ends] if n > m else [starts, ends, _starts(long, short), _starts(long[::-1], short[::-1])]
+    best = max(200.0 * c / (m + k) for run in runs for k, c in enumerate(run[:m], 1))
+    i, most = 1, 200.0 * starts[-1] / (2 * m)
+    while i < n - m and best < most:
+        c = _common(short, long[i : i + m])
+        best = max(best, 200.0 * c / (2 * m))
+        # From one stretch to the next the common part grows by one at most.
+        i += max(1, int(best * m / 100 + 1e-9) + 1 - c)
     return best
 
 

@@ -174,20 +174,31 @@ _PLAIN = "regexp_replace({}.name_key, '[^a-z0-9]', '', 'g')"
 _A, _B = _PLAIN.format("a"), _PLAIN.format("b")
 
 
-@query(
-    f"with {TRUTH_GID} select tg.s1, tg.rid, levenshtein({_A}, {_B})::bigint as lev, round(case when {_A} = '' and {_B} = '' then 1.0 else jaro_winkler_similarity({_A}, {_B}) end, 6) as jw "
-    "from tg join prepared a on a.gid = tg.s1 join prepared b on b.gid = tg.rid"
-)
-def edit_similarity(spark, d):
-    """Edit distance and Jaro-Winkler of the plain letters and digits of the keys."""
+_EDIT = f"levenshtein({_A}, {_B})::bigint as lev, round(case when {_A} = '' and {_B} = '' then 1.0 else jaro_winkler_similarity({_A}, {_B}) end, 6) as jw"
+_CP = "cp as (select distinct s1, rid from cands where s1 is not null and rid is not null)"
+
+
+def _edit_similarity(spark, d, pairs: DataFrame) -> DataFrame:
     p = table(spark, d, "prepared", "gid", "name_key").select("gid", F.regexp_replace("name_key", "[^a-z0-9]", "").alias("plain"))
-    df = features.sides(_truth_gid(spark, d), p, ["plain"])
+    df = features.sides(pairs, p, ["plain"])
     return rounded(df.select("s1", "rid", F.levenshtein("a_plain", "b_plain").alias("lev"), sim.jaro_winkler(F.col("a_plain"), F.col("b_plain")).alias("jw")))
 
 
+@query(f"with {TRUTH_GID} select tg.s1, tg.rid, {_EDIT} from tg join prepared a on a.gid = tg.s1 join prepared b on b.gid = tg.rid")
+def edit_similarity(spark, d):
+    """Edit distance and Jaro-Winkler of the plain letters and digits of the keys, over the labelled pairs."""
+    return _edit_similarity(spark, d, _truth_gid(spark, d))
+
+
+@query(f"with {_CP} select cp.s1, cp.rid, {_EDIT} from cp join prepared a on a.gid = cp.s1 join prepared b on b.gid = cp.rid")
+def edit_similarity_cands(spark, d):
+    """``edit_similarity`` of every candidate pair."""
+    return _edit_similarity(spark, d, _pairs(spark, d))
+
+
 @query()
 def ratio_similarity(spark, d):
-    df = features.sides(_truth_gid(spark, d), table(spark, d, "prepared", "gid", "name_roman"), ["name_roman"])
+    df = features.sides(_pairs(spark, d), table(spark, d, "prepared", "gid", "name_roman"), ["name_roman"])
     a, b = F.col("a_name_roman"), F.col("b_name_roman")
     return rounded(df.select("s1", "rid", sim.ratio(a, b).alias("ratio"), sim.partial_ratio(a, b).alias("partial"), sim.token_sort_ratio(a, b).alias("tsort"), sim.token_set_ratio(a, b).alias("tset")))
 
@@ -306,9 +317,6 @@ _PAIR_SQL = ", ".join(
         "regexp_matches(b.name, '[()\\[\\]]')::bigint as rec_paren", "contains(b.name, '  ')::bigint as rec_dblspace", "(lower(b.name) = b.name)::bigint as rec_lower", "regexp_matches(a.name, '^\\s*(<<|>>|--)')::bigint as s1_junk",
     ]
 )
-_CP = "cp as (select distinct s1, rid from cands where s1 is not null and rid is not null)"
-
-
 def _pairs(spark, d) -> DataFrame:
     return table(spark, d, "cands", "s1", "rid").where("s1 is not null and rid is not null").distinct()
 
@@ -321,13 +329,13 @@ def pair_features_native(spark, d):
 
 @query()
 def pair_features(spark, d):
-    return rounded(features.pair_features(_truth_gid(spark, d), table(spark, d, "prepared")))
+    return rounded(features.pair_features(_pairs(spark, d), table(spark, d, "prepared")))
 
 
 @query()
 def pair_features_finer(spark, d):
     p = table(spark, d, "prepared")
-    return rounded(features.finer_pair_features(_truth_gid(spark, d), features.record_columns(p)))
+    return rounded(features.finer_pair_features(_pairs(spark, d), features.record_columns(p)))
 
 
 _LEGAL = ", ".join(repr(w) for w in tx.LEGAL_FORMS)

@@ -36,3 +36,17 @@ def test_query(spark, data, duck, name):
         names = [c[0] for c in found.description]
         assert sorted(names) == columns
         assert plain(got) == plain([tuple(r[names.index(c)] for c in columns) for r in found.fetchall()])
+
+
+@pytest.mark.parametrize("name", ["pair_features", "pair_features_finer", "ratio_similarity", "edit_similarity_cands"])
+def test_features_cover_the_candidates(spark, data, name):
+    """One row for every different pair of ``cands`` with both records, not only for the labelled ones."""
+    gids = spark.read.parquet(f"{data}/prepared.parquet").select("gid")
+    pairs = spark.read.parquet(f"{data}/cands.parquet").select("s1", "rid").dropna().distinct()
+    pairs = pairs.join(gids.withColumnRenamed("gid", "s1"), "s1").join(gids.withColumnRenamed("gid", "rid"), "rid").select("s1", "rid")
+    df = QUERIES[name](spark, data)
+    got = sorted(map(tuple, df.select("s1", "rid").collect()))
+    assert got == sorted(map(tuple, pairs.collect()))
+    if "cmp_n_cand_s1" in df.columns:
+        per = {r["s1"]: r["count"] for r in pairs.groupBy("s1").count().collect()}
+        assert all(r["cmp_n_cand_s1"] == per[r["s1"]] for r in df.select("s1", "cmp_n_cand_s1").collect())

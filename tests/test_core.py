@@ -207,3 +207,15 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema(arrivals.schema).parquet(str(tmp_path / "in"))
     link_stream(stream, records(spark).where("src = 1"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert [(r["s1"], r["rid"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 4)]
+
+
+def test_partial_ratio_against_every_stretch():
+    rnd = random.Random(5)
+    for _ in range(3000):
+        a, b = ("".join(rnd.choice("abc é"[: rnd.randrange(1, 6)]) for _ in range(rnd.randrange(1, 22))) for _ in "ab")
+        short, long = (a, b) if len(a) <= len(b) else (b, a)
+        m = len(short)
+        want = max(sim.ratio_of(short, long[max(0, i) : i + m]) for i in range(1 - m, len(long)))
+        if len(a) == len(b):
+            want = max(want, max(sim.ratio_of(long, short[max(0, i) : i + m]) for i in range(1 - m, m)))
+        assert sim.partial_ratio_of(a, b) == want
