@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomlink.session import cut
+
 
 def pairs_within(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All pairs i < j of rows in the same block, the rows lying block after block."""
@@ -32,10 +34,10 @@ def whole_blocks(batches: Iterator[pd.DataFrame], key: str, rows: int = 20_000)
             continue
         all_rows = pd.concat(held, ignore_index=True) if len(held) > 1 else df
         k = all_rows[key].to_numpy()
-        cut = int(np.flatnonzero(k != k[-1])[-1]) + 1 if k[0] != k[-1] else 0
-        if cut:
-            yield all_rows.iloc[:cut].reset_index(drop=True)
-        held, size = [all_rows.iloc[cut:]], len(all_rows) - cut
+        end = int(np.flatnonzero(k != k[-1])[-1]) + 1 if k[0] != k[-1] else 0
+        if end:
+            yield all_rows.iloc[:end].reset_index(drop=True)
+        held, size = [all_rows.iloc[end:]], len(all_rows) - end
     if held:
         yield pd.concat(held, ignore_index=True)
 
@@ -83,3 +85,21 @@ def split_common(rows: DataFrame, fields: list[Column], most: int) -> DataFrame:
     common = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("block")
     divided = F.explode(F.array(*(F.xxhash64("block", F.lit(i), f) for i, f in enumerate(fields))))
     return rows.join(common, "block", "left_anti").unionByName(rows.join(common, "block", "left_semi").withColumn("block", divided))
+
+
+def across_chunks(rows: DataFrame, row: str, side: str, most: int) -> DataFrame:
+    """``rows``, every ``block`` of more than ``most`` rows cut, by the hash of ``row``, into chunks of the rows of which the boolean ``side`` is true and of the others.
+
+    Every chunk of one side makes a block with every chunk of the other, so that each two rows of different sides of a block meet once.
+    """
+    there = F.count_if(F.col(side))
+    chunks = lambda n: F.greatest(F.lit(1), F.ceil(n * 2 / most)).cast("int")
+    common = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"), there.alias("there")).where(F.col("n") > most)
+    common = cut(common.select("block", chunks(F.col("there")).alias("mine"), chunks(F.col("n") - F.col("there")).alias("theirs")))
+    if common.isEmpty():
+        return rows
+    mine, theirs, own, other = map(F.col, ("mine", "theirs", "own", "other"))
+    hot = rows.join(common, "block").withColumn("own", F.pmod(F.xxhash64(row), F.when(F.col(side), mine).otherwise(theirs)).cast("int"))
+    hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col(side), theirs).otherwise(mine) - 1)))
+    hot = hot.withColumn("block", F.xxhash64("block", F.when(F.col(side), own).otherwise(other), F.when(F.col(side), other).otherwise(own)))
+    return rows.join(common, "block", "left_anti").unionByName(hot.drop("mine", "theirs", "own", "other"))

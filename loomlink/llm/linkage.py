@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlink.llm.addresses import gazetteer
-from loomlink.llm.blocks import pairs_within, whole_blocks
+from loomlink.llm.blocks import across_chunks, pairs_within, whole_blocks
 from loomlink.llm.fields import Gazetteer, parse_address, parse_name
 from loomlink.llm.lcs import TextColumn, lcs_pairs
 from loomlink.llm.names import form_of, suffix_keys
@@ -154,25 +154,23 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def candidate_votes(entities: DataFrame, too_common: int = 400) -> DataFrame:
     """``s1, rid`` and a column per vote, for every pair of a listed and another entity that meet in a block.
 
-    Blocks of names that are too common are refined by town, by number and by street: what lies at other
-    places can't match there. A building with very many entities is refined by names.
+    Blocks of names with more than ``too_common`` rows are compared in whole, a chunk of their listed entities against a chunk of the others at a time.
+    A building with very many entities is refined by names.
     """
     rows = entities.mapInPandas(_block_rows, "block bigint, by_name boolean, id bigint, listed boolean, form string, number string, street string, kind string, town string")
-    common = cut(rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > too_common).select("block"))
     schema = "s1 bigint, rid bigint, " + ", ".join(f"{v} int" for v in VOTES)
     columns = ["block", "id", "listed", "form", "number", "street", "kind", "town"]
 
     def compared(blocks: DataFrame) -> DataFrame:
         return blocks.select(columns).repartition("block").sortWithinPartitions("block").mapInPandas(_candidates, schema)
 
-    found = compared(rows.join(common, "block", "left_anti"))
+    places = rows.where("not by_name")
+    common = cut(places.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > too_common).select("block"))
+    found = compared(across_chunks(rows.where("by_name"), "id", "listed", too_common).unionByName(places.join(common, "block", "left_anti")))
     if not common.isEmpty():
-        hot = rows.join(common, "block")
         words = F.split("form", "\\|")[2]
-        fields = F.when(F.col("by_name"), F.array(*(F.when(F.col(c) != "", F.concat(F.lit(c), F.substring(F.col(c), 1, 6) if c == "street" else F.col(c))) for c in ("town", "number", "street")))).otherwise(
-            F.array(F.concat(F.lit("<"), F.substring(words, 1, 5)), F.concat(F.lit(">"), F.substring(words, -5, 5)), F.lit(None).cast("string"))
-        )
-        again = hot.withColumn("field", F.explode(fields)).where("field is not null").withColumn("block", F.xxhash64("block", "field"))
+        fields = F.array(F.concat(F.lit("<"), F.substring(words, 1, 5)), F.concat(F.lit(">"), F.substring(words, -5, 5)))
+        again = places.join(common, "block").withColumn("field", F.explode(fields)).withColumn("block", F.xxhash64("block", "field")).drop("field")
         much = again.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * too_common).select("block")
         last = again.join(much, "block", "left_semi").withColumn("block", F.xxhash64("block", "town", "number", words))
         found = found.unionByName(compared(again.join(much, "block", "left_anti").unionByName(last)))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomlink.llm import addresses, leakage, linkage, names, packing, spans, splits, topn_runs, unicode_forms
+from loomlink.llm.blocks import across_chunks
 from loomlink.llm.fields import Gazetteer, parse_address, parse_name
 from loomlink.llm.fm_index import FMIndex
 from loomlink.llm.lcs import TextColumn, lcs, lcs_pairs
@@ -345,3 +346,32 @@ def test_matching_statistics():
         for e in range(1, len(t) + 1):
             want = max((n for n in range(1, e + 1) if any(t[e - n : e] in o for j, o in enumerate(texts) if j != k)), default=0)
             assert index.matched(np.array([k]), np.array([e]), 99, np.array([k]))[0] == want
+
+
+# Blocks of any size are compared in whole
+
+
+def test_chunks_lose_no_pair(spark):
+    rows = [(b, i, i % 3 == 0) for b, n in ((1, 57), (2, 4), (3, 11), (4, 10)) for i in range(n)]
+    df = spark.createDataFrame(rows, "block bigint, id bigint, listed boolean")
+
+    def met(found, may):
+        blocks, seen = {}, []
+        for r in found.collect():
+            blocks.setdefault(r["block"], []).append(r)
+        for b in blocks.values():
+            seen += [tuple(sorted((x["id"], y["id"]))) for k, x in enumerate(b) for y in b[k + 1 :] if may(x, y)]
+        return sorted(seen)
+
+    ids = {b: [(i, s) for c, i, s in rows if c == b] for b in (1, 2, 3, 4)}
+    assert met(across_chunks(df, "id", "listed", 10), lambda x, y: x["listed"] != y["listed"]) == sorted((i, j) for x in ids.values() for i, s in x for j, t in x if i < j and s != t)
+
+
+def test_candidates_of_common_blocks(spark):
+    """A record without an address, a slip in the number, other words at one address: met in a large block as in a small one."""
+    rows = [(i, i % 2 == 0, "US", "|foods|trimoka vijalis", str(100 + i), f"street{chr(97 + i)}x", "street", "US/a") for i in range(12)]
+    rows += [(20, False, "US", "|foods|trimoka vijalis", "", "", "", ""), (21, False, "US", "|foods|trumoka vijalis", "109", "", "", ""), (22, False, "US", "||vijalis trimoka", "", "", "", "US/a")]
+    entities = spark.createDataFrame(rows, linkage._ENTITY)
+    calm = sorted(map(tuple, linkage.candidate_votes(entities).collect()))
+    assert {(s, r) for s, r, *_ in calm} >= {(s, r) for s in range(0, 12, 2) for r in (20, 21)}
+    assert sorted(map(tuple, linkage.candidate_votes(entities, too_common=2).collect())) == calm
