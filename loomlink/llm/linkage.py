@@ -56,7 +56,7 @@ def _block_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     digest = xxhash.xxh64_intdigest
     for df in batches:
-        rows, keys, by_name = [], [], []
+        rows, keys = [], []
         for i, (country, form, number, town) in enumerate(zip(df["country"], df["form"], df["number"], df["town"])):
             _, line, words = form.split("|")
             if words:
@@ -64,15 +64,12 @@ def _block_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for k in suffix_keys(words.split(), line):
                     rows.append(i)
                     keys.append(digest(f"{country}:{k}"))
-                    by_name.append(True)
             if number and town:
                 rows.append(i)
                 keys.append(digest(f"{town}#{number}"))
-                by_name.append(False)
         at = np.array(rows, np.int64)
         out = df.iloc[at].drop(columns="country").reset_index(drop=True)
         out.insert(0, "block", np.array(keys, np.uint64).view(np.int64))
-        out.insert(1, "by_name", by_name)
         yield out
 
 
@@ -154,27 +151,12 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def candidate_votes(entities: DataFrame, too_common: int = 400) -> DataFrame:
     """``s1, rid`` and a column per vote, for every pair of a listed and another entity that meet in a block.
 
-    Blocks of names with more than ``too_common`` rows are compared in whole, a chunk of their listed entities against a chunk of the others at a time.
-    A building with very many entities is refined by names.
+    Blocks of more than ``too_common`` rows are compared in whole, a chunk of their listed entities against a chunk of the others at a time.
     """
-    rows = entities.mapInPandas(_block_rows, "block bigint, by_name boolean, id bigint, listed boolean, form string, number string, street string, kind string, town string")
+    rows = entities.mapInPandas(_block_rows, "block bigint, id bigint, listed boolean, form string, number string, street string, kind string, town string")
     schema = "s1 bigint, rid bigint, " + ", ".join(f"{v} int" for v in VOTES)
-    columns = ["block", "id", "listed", "form", "number", "street", "kind", "town"]
-
-    def compared(blocks: DataFrame) -> DataFrame:
-        return blocks.select(columns).repartition("block").sortWithinPartitions("block").mapInPandas(_candidates, schema)
-
-    places = rows.where("not by_name")
-    common = cut(places.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > too_common).select("block"))
-    found = compared(across_chunks(rows.where("by_name"), "id", "listed", too_common).unionByName(places.join(common, "block", "left_anti")))
-    if not common.isEmpty():
-        words = F.split("form", "\\|")[2]
-        fields = F.array(F.concat(F.lit("<"), F.substring(words, 1, 5)), F.concat(F.lit(">"), F.substring(words, -5, 5)))
-        again = places.join(common, "block").withColumn("field", F.explode(fields)).withColumn("block", F.xxhash64("block", "field")).drop("field")
-        much = again.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * too_common).select("block")
-        last = again.join(much, "block", "left_semi").withColumn("block", F.xxhash64("block", "town", "number", words))
-        found = found.unionByName(compared(again.join(much, "block", "left_anti").unionByName(last)))
-    return found.distinct()
+    blocks = across_chunks(rows, "id", "listed", too_common)
+    return blocks.repartition("block").sortWithinPartitions("block").mapInPandas(_candidates, schema).distinct()
 
 
 def add_context(votes: DataFrame) -> DataFrame:

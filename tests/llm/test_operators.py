@@ -375,3 +375,10 @@ def test_candidates_of_common_blocks(spark):
     calm = sorted(map(tuple, linkage.candidate_votes(entities).collect()))
     assert {(s, r) for s, r, *_ in calm} >= {(s, r) for s in range(0, 12, 2) for r in (20, 21)}
     assert sorted(map(tuple, linkage.candidate_votes(entities, too_common=2).collect())) == calm
+
+
+def test_candidates_of_a_common_building(spark):
+    """Entities of one building whose names share neither beginning nor end meet, however many there are."""
+    rows = [(i, i % 2 == 0, "US", f"||{a}", "7", "hill", "road", "US/a") for i, a in enumerate(("gomada", "pilevu", "trenok", "basulo", "fedriv", "mokanu", "zulpit", "havern"))]
+    entities = spark.createDataFrame(rows, linkage._ENTITY)
+    assert sorted((r["s1"], r["rid"]) for r in linkage.candidate_votes(entities, too_common=2).collect()) == [(s, r) for s in range(0, 8, 2) for r in range(1, 8, 2)]
