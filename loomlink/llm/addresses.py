@@ -121,6 +121,7 @@ def link_buildings(forms: DataFrame) -> DataFrame:
     blocks = useful.withColumn("block", F.xxhash64("token", "number")).drop("token", "wanted", "some")
     # A building with very many wordings is divided by the two ends of its street's name.
     blocks = split_common(blocks, [F.substring("street", 1, 3), F.substring("street", -3, 3)], 2000)
+    blocks = blocks.withColumn("part", F.lit(-1))
     found = blocks.repartition("block").sortWithinPartitions("block").mapInPandas(compare_blocks(same_building, "block", "form_id"), "a bigint, b bigint")
     return found.distinct()
 

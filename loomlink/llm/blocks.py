@@ -45,7 +45,8 @@ def whole_blocks(batches: Iterator[pd.DataFrame], key: str, rows: int = 20_000)
 def compare_blocks(verify: Callable[[pd.DataFrame, np.ndarray, np.ndarray], np.ndarray], key: str, row: str, at_once: int = 400_000):
     """A mapper of sorted partitions: pairs of ``row`` values, the smaller first, that ``verify`` accepts.
 
-    ``verify(frame, left, right)`` gives a mask over pairs of places in the frame.
+    ``verify(frame, left, right)`` gives a mask over pairs of places in the frame. Rows of a block with an equal ``part``
+    of 0 or more are not compared, see ``in_chunks``.
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,17 +54,19 @@ def compare_blocks(verify: Callable[[pd.DataFrame, np.ndarray, np.ndarray], np.n
             k = df[key].to_numpy()
             starts = np.append(0, np.flatnonzero(k[1:] != k[:-1]) + 1)
             sizes = np.diff(starts, append=len(k))
-            ids = df[row].to_numpy()
+            ids, part = df[row].to_numpy(), df["part"].to_numpy()
             # Blocks in groups of bounded numbers of pairs.
             load = np.cumsum(sizes * (sizes - 1) // 2) // at_once
             out = []
             for g in np.unique(load):
                 m = np.flatnonzero(load == g)
-                a, b = starts[m[0]], starts[m[-1]] + sizes[m[-1]]
+                a = starts[m[0]]
                 left, right = pairs_within(sizes[m])
                 if not len(left):
                     continue
                 left, right = left + a, right + a
+                apart = (part[left] < 0) | (part[left] != part[right])
+                left, right = left[apart], right[apart]
                 x, y = ids[left], ids[right]
                 lo, hi = np.minimum(x, y), np.maximum(x, y)
                 # A pair met in several blocks of this frame is compared once.
@@ -80,11 +83,21 @@ def compare_blocks(verify: Callable[[pd.DataFrame, np.ndarray, np.ndarray], np.n
     return work
 
 
-def split_common(rows: DataFrame, fields: list[Column], most: int) -> DataFrame:
-    """``rows`` with every ``block`` of more than ``most`` rows divided by each of the ``fields``; a row then lies in as many blocks."""
-    common = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("block")
-    divided = F.explode(F.array(*(F.xxhash64("block", F.lit(i), f) for i, f in enumerate(fields))))
-    return rows.join(common, "block", "left_anti").unionByName(rows.join(common, "block", "left_semi").withColumn("block", divided))
+def in_chunks(rows: DataFrame, row: str, most: int) -> DataFrame:
+    """``rows`` and ``part``, every ``block`` of more than ``most`` rows cut by the hash of ``row`` into chunks of half as many.
+
+    Every two chunks, and every chunk for itself, are a block of their own, so that all rows of a block still meet, each
+    two once. ``part`` is the chunk where two chunks meet, else -1.
+    """
+    common = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    common = cut(common.select("block", F.ceil(F.col("n") * 2 / most).cast("int").alias("chunks")))
+    calm = rows.withColumn("part", F.lit(-1))
+    if common.isEmpty():
+        return calm
+    own, other = F.col("own"), F.col("other")
+    hot = rows.join(common, "block").withColumn("own", F.pmod(F.xxhash64(F.col(row)), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    hot = hot.withColumn("block", F.xxhash64("block", F.least(own, other), F.greatest(own, other))).withColumn("part", F.when(own == other, -1).otherwise(own))
+    return calm.join(common, "block", "left_anti").unionByName(hot.drop("chunks", "own", "other"))
 
 
 def across_chunks(rows: DataFrame, row: str, side: str, most: int) -> DataFrame:
@@ -103,3 +116,10 @@ def across_chunks(rows: DataFrame, row: str, side: str, most: int) -> DataFrame:
     hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col(side), theirs).otherwise(mine) - 1)))
     hot = hot.withColumn("block", F.xxhash64("block", F.when(F.col(side), own).otherwise(other), F.when(F.col(side), other).otherwise(own)))
     return rows.join(common, "block", "left_anti").unionByName(hot.drop("mine", "theirs", "own", "other"))
+
+
+def split_common(rows: DataFrame, fields: list[Column], most: int) -> DataFrame:
+    """``rows`` with every ``block`` of more than ``most`` rows divided by each of the ``fields``; a row then lies in as many blocks."""
+    common = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("block")
+    divided = F.explode(F.array(*(F.xxhash64("block", F.lit(i), f) for i, f in enumerate(fields))))
+    return rows.join(common, "block", "left_anti").unionByName(rows.join(common, "block", "left_semi").withColumn("block", divided))

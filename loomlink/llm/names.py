@@ -3,8 +3,8 @@
 A name is taken apart into first name, proper words by their sound, and line of business; equal results form
 one spelling form, so copies cost nothing. The forms are indexed by suffixes of their words. A suffix alone is
 far too common in a large table, so it is refined at once by the beginning, or the suffix, of another word of
-the name; what is still too common is refined by line and first name, and then by the whole words. The forms of
-a block are compared in bulk. No suffix is dropped unrefined.
+the name. The forms of a block are compared in bulk, those of a large one chunk against chunk, so no two forms of
+a block are left out.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlink.llm.blocks import compare_blocks, split_common
+from loomlink.llm.blocks import compare_blocks, in_chunks
 from loomlink.llm.fields import Name, parse_name
 from loomlink.llm.lcs import TextColumn, lcs_pairs
 from loomlink.session import cut
@@ -24,6 +24,7 @@ from loomlink.session import cut
 SUFFIX, BESIDE = 4, 3
 ALIKE, CONTAINED = 0.78, 0.88
 ALIKE_BESIDE, CONTAINED_BESIDE = 0.62, 0.72
+TOO_COMMON = 400
 
 
 def form_of(name: Name) -> str:
@@ -118,8 +119,7 @@ def link_beside(forms: DataFrame, links: DataFrame) -> DataFrame:
     hub = cut(ranked.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("m"), "b"))["b"].alias("hub")))
     top = hub.select(F.col("a").alias("hub"), F.col("hub").alias("block"))
     blocks = forms.select(F.col("form_id").alias("a"), "form").join(hub, "a").join(top, "hub").select("block", F.col("a").alias("form_id"), "form")
-    words = F.split("form", "\\|")[2]
-    blocks = split_common(blocks, [F.substring(words, 1, 3), F.substring(words, -3, 3)], 2000)
+    blocks = in_chunks(blocks, "form_id", TOO_COMMON)
     return blocks.repartition("block").sortWithinPartitions("block").mapInPandas(compare_blocks(same_name_beside, "block", "form_id"), "a bigint, b bigint")
 
 
@@ -132,25 +132,11 @@ def name_forms(df: DataFrame, key: str, name: str, country: str, spelling: str)
     return parsed.withColumn("form_id", F.xxhash64("country", "form"))
 
 
-def link_forms(forms: DataFrame, too_common: int = 400) -> DataFrame:
+def link_forms(forms: DataFrame, too_common: int = TOO_COMMON) -> DataFrame:
     """``a, b`` (a < b): pairs of ``form_id`` of ``forms(form_id, country, form)``, each id once, that are one name."""
     keys = forms.select("country", "form", "form_id").mapInPandas(_keys_of, "block bigint, form_id bigint, form string")
-    schema = "a bigint, b bigint"
-
-    def compared(blocks: DataFrame) -> DataFrame:
-        return blocks.select("block", "form_id", "form").repartition("block").sortWithinPartitions("block").mapInPandas(compare_blocks(same_name, "block", "form_id"), schema)
-
-    common = keys.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > too_common).select("block")
-    common = cut(common)
-    found = compared(keys.join(common, "block", "left_anti"))
-    if not common.isEmpty():
-        part = F.split("form", "\\|")
-        refine = [F.concat(part[0], F.lit("/"), part[1]), F.substring(part[2], 1, 7), F.substring(part[2], -7, 7)]
-        hot = keys.join(common, "block").select(F.explode(F.array(*(F.xxhash64("block", F.lit(i), r) for i, r in enumerate(refine)))).alias("block"), "form_id", "form")
-        again = hot.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > too_common).select("block")
-        still = hot.join(again, "block", "left_semi").select(F.xxhash64("block", F.array_join(F.array_sort(F.split(part[2], " ")), " ")).alias("block"), "form_id", "form")
-        found = found.unionByName(compared(hot.join(again, "block", "left_anti").unionByName(still)))
-    return found.distinct()
+    blocks = in_chunks(keys, "form_id", too_common).repartition("block").sortWithinPartitions("block")
+    return blocks.mapInPandas(compare_blocks(same_name, "block", "form_id"), "a bigint, b bigint").distinct()
 
 
 def link_names(df: DataFrame, key: str = "gid", name: str = "name", country: str = "country", spelling: str = "name_key") -> DataFrame:

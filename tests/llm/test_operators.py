@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomlink.llm import addresses, leakage, linkage, names, packing, spans, splits, topn_runs, unicode_forms
-from loomlink.llm.blocks import across_chunks
+from loomlink.llm.blocks import across_chunks, in_chunks
 from loomlink.llm.fields import Gazetteer, parse_address, parse_name
 from loomlink.llm.fm_index import FMIndex
 from loomlink.llm.lcs import TextColumn, lcs, lcs_pairs
@@ -364,9 +364,19 @@ def test_chunks_lose_no_pair(spark):
         return sorted(seen)
 
     ids = {b: [(i, s) for c, i, s in rows if c == b] for b in (1, 2, 3, 4)}
+    assert met(in_chunks(df, "id", 10), lambda x, y: x["part"] < 0 or x["part"] != y["part"]) == sorted((i, j) for x in ids.values() for i, _ in x for j, _ in x if i < j)
     assert met(across_chunks(df, "id", "listed", 10), lambda x, y: x["listed"] != y["listed"]) == sorted((i, j) for x in ids.values() for i, s in x for j, t in x if i < j and s != t)
 
 
+def test_names_of_a_common_block(spark):
+    """Reordered words with the line of business left out, and slips at both ends, are found however common the words."""
+    forms = ["|manufacturing|trimoka vijalis", "||vijalis trimoka", "||trumoka vijalos", *(f"|{line}|trimoka vijalis" for line in ("foods", "dairy", "motors"))]
+    df = spark.createDataFrame([(i, "US", f) for i, f in enumerate(forms)], "form_id bigint, country string, form string")
+    calm = sorted(map(tuple, names.link_forms(df).collect()))
+    assert (0, 1) in calm
+    assert sorted(map(tuple, names.link_forms(df, too_common=2).collect())) == calm
+
+
 def test_candidates_of_common_blocks(spark):
     """A record without an address, a slip in the number, other words at one address: met in a large block as in a small one."""
     rows = [(i, i % 2 == 0, "US", "|foods|trimoka vijalis", str(100 + i), f"street{chr(97 + i)}x", "street", "US/a") for i in range(12)]
