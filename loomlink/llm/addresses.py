@@ -1,10 +1,9 @@
-"""One building, many wordings of its address: a containment join on rare tokens.
+"""One building, many wordings of its address: a containment join on shared tokens.
 
-An address is taken apart into house number, street, town; equal results are one form. Its tokens are the
-number and the street, each within the town. Every form is indexed under one token only, its rarest one (of
-those that other forms hold too), and probes the index with all its tokens, so the fuller wording finds the
-less full one. Found pairs are verified: the weighted share of the less full address's tokens that the fuller
-one holds, streets by longest common subsequence, and no component that contradicts.
+An address is taken apart into house number, street, town; equal results are one form. The number within the town is
+the one token that all wordings of a building share letter for letter, as the spelling of a street varies; so every
+form is indexed under it, and all forms under one token are compared. Town and number must be equal and the kind of
+street must not contradict; then the street decides, by longest common subsequence.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlink.llm.blocks import compare_blocks, split_common
@@ -21,8 +20,7 @@ from loomlink.llm.fields import Gazetteer, parse_address
 from loomlink.llm.lcs import TextColumn, lcs_pairs
 from loomlink.session import cut
 
-HELD = 0.8
-ESTABLISHED = 3
+ALIKE = 0.7
 _MOST_PLACES = 1_000_000
 
 
@@ -59,9 +57,7 @@ def same_building(df: pd.DataFrame, left: np.ndarray, right: np.ndarray) -> np.n
     none = np.flatnonzero(kind[1] == "")
     blank = int(none[0]) if len(none) else -1
     ka, kb = kind[0][left], kind[0][right]
-    # Two probes that only met at a token need an indexed one between them.
     ok = (codes["town"][left] == codes["town"][right]) & (codes["number"][left] == codes["number"][right])
-    ok &= df["indexed"].to_numpy()[left] | df["indexed"].to_numpy()[right]
     spots = np.flatnonzero(ok)
     out = np.zeros(len(left), bool)
     if not len(spots):
@@ -75,9 +71,7 @@ def same_building(df: pd.DataFrame, left: np.ndarray, right: np.ndarray) -> np.n
     share = np.maximum(alike, part * 0.9)
     # The kinds of street: said twice and different, they contradict unless the names agree in full.
     clash = ((ka != kb) & (ka != blank) & (kb != blank))[spots]
-    wn, ws = df["w_number"].to_numpy()[a], np.minimum(df["w_street"].to_numpy()[a], df["w_street"].to_numpy()[b])
-    held = (wn + ws * np.where(share >= 0.7, 1.0, 0.0)) / (wn + ws)
-    out[spots] = (held >= HELD) & (share >= 0.7) & ~clash
+    out[spots] = (share >= ALIKE) & ~clash
     return out
 
 
@@ -93,35 +87,9 @@ def building_forms(df: DataFrame, places: DataFrame, key: str, addr: str, countr
 
 def link_buildings(forms: DataFrame) -> DataFrame:
     """``a, b`` (a < b): pairs of ``form_id`` of ``forms(form_id, number, street, kind, town)``, each id once, that denote one building."""
-    number, street = F.xxhash64("town", "number", F.lit("n")), F.xxhash64("town", "street", F.lit("s"))
-    tokens = cut(forms.select("form_id", "number", "street", "kind", "town", number.alias("tn"), street.alias("ts")))
-    df_number = tokens.groupBy("tn").agg(F.count(F.lit(1)).alias("n_number"))
-    # A spelling met with one number only may be a slip of the pen; no other address can be looked up by it.
-    df_street = tokens.groupBy("ts").agg(F.count(F.lit(1)).alias("n_street"), F.approx_count_distinct("number").alias("numbers"))
-    weighed = tokens.join(df_number, "tn").join(df_street, "ts")
-    by_street = (F.col("numbers") >= ESTABLISHED) & (F.col("n_street") < F.col("n_number"))
-    total = F.lit(1e7)
-    weighed = weighed.select(
-        "form_id", "number", "street", "kind", "town", "tn", "ts", by_street.alias("by_street"),
-        F.log(total / F.col("n_number")).cast("float").alias("w_number"), F.log(total / F.col("n_street")).cast("float").alias("w_street"),
-        (F.col("n_number") > 1).alias("more"),
-    )
-    probes = weighed.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("tn").alias("token"), (~F.col("by_street")).alias("indexed"), F.col("more").alias("wanted")),
-                F.struct(F.col("ts").alias("token"), F.col("by_street").alias("indexed"), F.col("more").alias("wanted")),
-            )
-        ).alias("t"),
-        "form_id", "number", "street", "kind", "town", "w_number", "w_street",
-    ).select("t.*", "form_id", "number", "street", "kind", "town", "w_number", "w_street")
-    # Tokens under which nothing is indexed need no probe.
-    held = Window.partitionBy("token", "number")
-    useful = probes.where("wanted").withColumn("some", F.max(F.col("indexed").cast("int")).over(held)).where("some = 1")
-    blocks = useful.withColumn("block", F.xxhash64("token", "number")).drop("token", "wanted", "some")
+    blocks = forms.select(F.xxhash64("town", "number").alias("block"), "form_id", "number", "street", "kind", "town")
     # A building with very many wordings is divided by the two ends of its street's name.
-    blocks = split_common(blocks, [F.substring("street", 1, 3), F.substring("street", -3, 3)], 2000)
-    blocks = blocks.withColumn("part", F.lit(-1))
+    blocks = split_common(blocks, [F.substring("street", 1, 3), F.substring("street", -3, 3)], 2000).withColumn("part", F.lit(-1))
     found = blocks.repartition("block").sortWithinPartitions("block").mapInPandas(compare_blocks(same_building, "block", "form_id"), "a bigint, b bigint")
     return found.distinct()
 

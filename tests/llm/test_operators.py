@@ -377,6 +377,13 @@ def test_names_of_a_common_block(spark):
     assert sorted(map(tuple, names.link_forms(df, too_common=2).collect())) == calm
 
 
+def test_two_established_spellings_meet(spark):
+    at = lambda street, *numbers: [(str(n), street, "street", "US/a") for n in numbers]
+    rows = at("shetetru", 1948, 2, 3, 4) + at("shetetro", 1948, 5, 6, 7) + [r for s in ("bavolin", "kermudas", "ploquix", "zandwyf", "hugrint", "myncoste") for r in at(s, 1948)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "form_id bigint, number string, street string, kind string, town string")
+    assert [tuple(r) for r in addresses.link_buildings(df).collect()] == [(0, 4)]
+
+
 def test_candidates_of_common_blocks(spark):
     """A record without an address, a slip in the number, other words at one address: met in a large block as in a small one."""
     rows = [(i, i % 2 == 0, "US", "|foods|trimoka vijalis", str(100 + i), f"street{chr(97 + i)}x", "street", "US/a") for i in range(12)]
