@@ -2,7 +2,8 @@
 
 An address is taken apart into house number, street, town; equal results are one form. The number within the town is
 the one token that all wordings of a building share letter for letter, as the spelling of a street varies; so every
-form is indexed under it, and all forms under one token are compared. Town and number must be equal and the kind of
+form is indexed under it, and all forms under one token are compared, those of a large
+one chunk against chunk. Town and number must be equal and the kind of
 street must not contradict; then the street decides, by longest common subsequence.
 """
 
@@ -15,12 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlink.llm.blocks import compare_blocks, split_common
+from loomlink.llm.blocks import compare_blocks, in_chunks
 from loomlink.llm.fields import Gazetteer, parse_address
 from loomlink.llm.lcs import TextColumn, lcs_pairs
 from loomlink.session import cut
 
 ALIKE = 0.7
+TOO_COMMON = 1000
 _MOST_PLACES = 1_000_000
 
 
@@ -88,8 +90,7 @@ def building_forms(df: DataFrame, places: DataFrame, key: str, addr: str, countr
 def link_buildings(forms: DataFrame) -> DataFrame:
     """``a, b`` (a < b): pairs of ``form_id`` of ``forms(form_id, number, street, kind, town)``, each id once, that denote one building."""
     blocks = forms.select(F.xxhash64("town", "number").alias("block"), "form_id", "number", "street", "kind", "town")
-    # A building with very many wordings is divided by the two ends of its street's name.
-    blocks = split_common(blocks, [F.substring("street", 1, 3), F.substring("street", -3, 3)], 2000).withColumn("part", F.lit(-1))
+    blocks = in_chunks(blocks, "form_id", TOO_COMMON)
     found = blocks.repartition("block").sortWithinPartitions("block").mapInPandas(compare_blocks(same_building, "block", "form_id"), "a bigint, b bigint")
     return found.distinct()
 

@@ -384,6 +384,13 @@ def test_two_established_spellings_meet(spark):
     assert [tuple(r) for r in addresses.link_buildings(df).collect()] == [(0, 4)]
 
 
+def test_streets_of_a_very_common_number(spark):
+    rnd = random.Random(9)
+    streets = ["bolmaterringhaus", "kolmaterringhaux"] + list({"".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14)) for _ in range(2100)})
+    df = spark.createDataFrame([(i, "1", s, "", "US/a") for i, s in enumerate(streets)], "form_id bigint, number string, street string, kind string, town string")
+    assert (0, 1) in [tuple(r) for r in addresses.link_buildings(df).collect()]
+
+
 def test_candidates_of_common_blocks(spark):
     """A record without an address, a slip in the number, other words at one address: met in a large block as in a small one."""
     rows = [(i, i % 2 == 0, "US", "|foods|trimoka vijalis", str(100 + i), f"street{chr(97 + i)}x", "street", "US/a") for i in range(12)]
