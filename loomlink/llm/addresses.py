@@ -2,9 +2,9 @@
 
 An address is taken apart into house number, street, town; equal results are one form. The number within the town is
 the one token that all wordings of a building share letter for letter, as the spelling of a street varies; so every
-form is indexed under it, and all forms under one token are compared, those of a large
-one chunk against chunk. Town and number must be equal and the kind of
-street must not contradict; then the street decides, by longest common subsequence.
+form is indexed under it, and all forms under one token are compared, those of a large one chunk against chunk.
+Town and number must be equal and the kind of street must not contradict; then the street decides: the longest common
+subsequence against both names, or against the shorter one where the other contains it. Tokens carry no weights.
 """
 
 from __future__ import annotations
