@@ -32,7 +32,9 @@ LOOKALIKES = (
 _INVISIBLE = "­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￹-￻\U000e0000-\U000e0fff\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f"
 _BLANKS = "\t\n\x0b\x0c\r\x1c-\x1f\x85   -     　"
 _INDIC = "ऀ-෿"
-_OTHER_LETTERS = "ɐ-ʯıȷǃͰ-ϿЀ-ԯԱ-ևᴀ-ᶿⱠ-Ɀ꜠-ꟿႠ-ჿᎠ-᏿"
+# Letters that are not ordinary Latin: any but these ranges, and some inside them.
+_ORDINARY = "A-Za-zªºÀ-ɏḀ-ỿ" + _INDIC
+_ODD_LATIN = "ıȷǀ-ǃ"
 
 
 @cache
@@ -80,7 +82,7 @@ def _tools():
         re.compile(f"[{_BLANKS}]"),
         re.compile(f"[A-Za-zÀ-ɏḀ-ỿ]{mark}+"),
         re.compile(f"[^\\W\\d_](?:[^\\W\\d_]|{mark})*"),
-        re.compile(f"[{_OTHER_LETTERS}]"),
+        re.compile(f"[^\\W\\d_{_ORDINARY}]|[{_ODD_LATIN}]"),
     )
 
 
@@ -107,7 +109,7 @@ def consistent_form(text: str) -> tuple[str, bool]:
         def mend(m: re.Match) -> str:
             nonlocal odd
             w = m[0]
-            foreign = [ch for ch in w if ch.isalpha() and not is_ordinary_latin(ch) and ch not in "ªº"]
+            foreign = [ch for ch in w if ch.isalpha() and not is_ordinary_latin(ch) and ch not in "ªº" and not "ऀ" <= ch <= "෿"]
             latin = sum(1 for ch in w if ch.isalpha() and is_ordinary_latin(ch))
             if not foreign or not latin:
                 return w
@@ -119,8 +121,11 @@ def consistent_form(text: str) -> tuple[str, bool]:
 
 
 def suspicious_pattern() -> str:
-    """Regular expression (Java) of every character that a value must hold for ``consistent_form`` to change it."""
-    return f"[{_INVISIBLE}{_BLANKS}̀-ͯ᪰-᫿᷀-᷿⃐-⃰{_OTHER_LETTERS}{_class_of(compatibility_forms())}]"
+    """Regular expression (Java) of every character that a value must hold for ``consistent_form`` to change it.
+
+    Code points that Java does not know yet may be letters to Python, so they count too.
+    """
+    return f"[{_INVISIBLE}{_BLANKS}̀-ͯ᪰-᫿᷀-᷿⃐-⃰{_ODD_LATIN}{_class_of(compatibility_forms())}[\\p{{L}}\\p{{Cn}}&&[^{_ORDINARY}]]]"
 
 
 def _map_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

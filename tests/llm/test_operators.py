@@ -406,3 +406,18 @@ def test_candidates_of_a_common_building(spark):
     rows = [(i, i % 2 == 0, "US", f"||{a}", "7", "hill", "road", "US/a") for i, a in enumerate(("gomada", "pilevu", "trenok", "basulo", "fedriv", "mokanu", "zulpit", "havern"))]
     entities = spark.createDataFrame(rows, linkage._ENTITY)
     assert sorted((r["s1"], r["rid"]) for r in linkage.candidate_votes(entities, too_common=2).collect()) == [(s, r) for s in range(0, 8, 2) for r in range(1, 8, 2)]
+
+
+# 5: letters of any script
+
+
+@pytest.mark.parametrize("letter", ["ꓮ", "Ⲁ", "א", "ب", "ꭰ", "ꬰ", "ǀ", "ʰ", "µ", "株", "𐐀", "ᎪА"])
+def test_foreign_letter_in_a_latin_word(spark, letter):
+    """By property, as the query's SQL has it: any letter outside the ordinary Latin ranges, and never one beside them only."""
+    df = spark.createDataFrame([(0, f"Mo{letter}per"), (1, f"Mooper {letter}")], "id bigint, name string")
+    got = {r["id"]: r["odd"] for r in unicode_forms.unify_fields(df, "id", ["name"]).collect()}
+    assert got[0] and not got[1]
+
+
+def test_indic_letters_are_not_foreign():
+    assert unicode_forms.consistent_form("Кафе कabc ªº") == ("Кафе कabc ªº", False)
