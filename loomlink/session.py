@@ -26,16 +26,21 @@ def local_session(cpus: int | None = None, shuffle_partitions: int = 8, memory:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints, as the session names it.
 
-    Only where neither the context nor ``spark.checkpoint.dir`` names one, as in tests on one
-    machine, a folder under the temporary directory is set.
+    Where neither the context nor ``spark.checkpoint.dir`` names one, a session on one machine takes a folder
+    under the temporary directory; on a cluster that is an error, as its parts would lie on different machines.
+    Files of checkpoints that no DataFrame refers to any more are removed, unless the session forbids it.
     """
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    context = spark.sparkContext
+    context._jsc.sc().conf().setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+    held = context._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), "loomlink-checkpoints")
-    spark.sparkContext.setCheckpointDir(named)
+    context.setCheckpointDir(named)
     return named
 
 
