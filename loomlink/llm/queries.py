@@ -49,14 +49,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from loomlink.llm.unicode_forms import unify_fields
 
     forms = unify_fields(table(spark, d, "records", "row_id", "name", "addr"), "row_id", ["name", "addr"])
-    return forms.where("value <> canonical or odd").where("odd").select("row_id", "field")
+    return forms.where("changed").select("row_id", "field")
 
 
 def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     from loomlink.llm.unicode_forms import unify_fields
 
     forms = unify_fields(table(spark, d, "records", "row_id", "name", "addr"), "row_id", ["name", "addr"])
-    return forms.select("row_id", "field", "canonical", F.expr("value <> canonical").alias("changed"))
+    return forms.select("row_id", "field", "canonical", "changed")
 
 
 def p6_splits(spark: SparkSession, d: str) -> DataFrame:

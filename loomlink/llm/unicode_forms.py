@@ -3,7 +3,8 @@
 Plan: the distinct values of the fields are collected once (a hash aggregate); only those with a
 suspicious character (a JVM regular expression) go through the Arrow mapper that exchanges look-alikes.
 All values are then grouped by the mapped text under an accent-sensitive Unicode collation, a member
-per class is chosen, and the choice is joined back to the values.
+per class is chosen, and the choice is joined back to the values. A field had to change if and only if its
+value is not its class's member: a mapped text is its own mapped text, so no value that the mapper changes is one.
 """
 
 from __future__ import annotations
@@ -92,32 +93,39 @@ def is_ordinary_latin(ch: str) -> bool:
 
 
 def consistent_form(text: str) -> tuple[str, bool]:
-    """``text`` in its consistent form, and whether a character had to change."""
+    """``text`` in its consistent form, and whether a character had to change.
+
+    An accent that no precomposed letter has is dropped; a foreign letter that looks like no ordinary one is set apart
+    from the Latin letters beside it by blanks. So the consistent form of a consistent form is itself.
+    """
     if text.isascii() and not re.search("[\x00-\x1f\x7f]", text):
         return text, False
     table, look, compat, joiner, invisible, blank, accented, word, other = _tools()
-    out, odd = joiner.sub("", text), False
+    out = joiner.sub("", text)
     out = invisible.sub("", out)
     out = blank.sub(" ", out)
     if compat.search(out):
         out = out.translate(table)
     if accented.search(out):
-        odd = True
         out = accented.sub(lambda m: unicodedata.normalize("NFC", m[0]), out)
+        out = accented.sub(lambda m: m[0][0], out)
     if other.search(out):
 
+        def foreign(ch: str) -> bool:
+            return ch.isalpha() and not is_ordinary_latin(ch) and ch not in "ªº" and not "ऀ" <= ch <= "෿"
+
         def mend(m: re.Match) -> str:
-            nonlocal odd
             w = m[0]
-            foreign = [ch for ch in w if ch.isalpha() and not is_ordinary_latin(ch) and ch not in "ªº" and not "ऀ" <= ch <= "෿"]
-            latin = sum(1 for ch in w if ch.isalpha() and is_ordinary_latin(ch))
-            if not foreign or not latin:
+            if not any(map(foreign, w)) or not any(ch.isalpha() and is_ordinary_latin(ch) for ch in w):
                 return w
-            odd = True
-            return "".join(look.get(ch, ch) for ch in w)
+            w = "".join(look.get(ch, ch) for ch in w)
+            apart = "".join(f" {ch} " if foreign(ch) else ch for ch in w)
+            return w if apart == w else re.sub(" +", " ", apart).strip()
 
         out = word.sub(mend, out)
-    return out, odd or out != text
+        if accented.search(out):
+            return consistent_form(out)[0], True
+    return out, out != text
 
 
 def suspicious_pattern() -> str:
@@ -130,36 +138,36 @@ def suspicious_pattern() -> str:
 
 def _map_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in batches:
-        done = [consistent_form(v) for v in df["value"]]
-        yield pd.DataFrame({"value": df["value"], "mapped": [d[0] for d in done], "odd": [d[1] for d in done], "n": df["n"]})
+        yield pd.DataFrame({"value": df["value"], "mapped": [consistent_form(v)[0] for v in df["value"]], "n": df["n"]})
 
 
 def canonical_values(values: DataFrame) -> DataFrame:
-    """``value, mapped, odd, canonical`` of every distinct value of ``values(value)``.
+    """``value, mapped, canonical`` of every distinct value of ``values(value)``.
 
-    ``mapped`` is the value with its look-alikes exchanged, ``odd`` whether one was found. Values whose
-    mapped text is equal under the accent-sensitive collation UNICODE form a class; its canonical member
-    is the mapped text borne by most rows, ties by the smaller text in byte order. NULL values are left out;
-    the empty text is its own class.
+    ``mapped`` is the value with its look-alikes exchanged. Values whose mapped text is equal under the
+    accent-sensitive collation UNICODE form a class, as far as their characters outside the Latin alphabet are the
+    same: an Indic word with a joiner is another word. The class's canonical member is the mapped text borne by
+    most rows, ties by the smaller text in byte order. NULL values are left out; the empty text is its own class.
     """
     counted = values.where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     # Text without a byte above 127 and without controls, most of all text, needs no look at the long character class.
     ascii_only = (F.octet_length("value") == F.char_length("value")) & ~F.col("value").rlike("[\\x00-\\x1f\\x7f]")
     counted = cut(counted.withColumn("suspicious", F.when(ascii_only, False).otherwise(F.col("value").rlike(suspicious_pattern()))))
-    plain = counted.where("not suspicious").select("value", F.col("value").alias("mapped"), F.lit(False).alias("odd"), "n")
-    odd = counted.where("suspicious").select("value", "n").mapInPandas(_map_values, "value string, mapped string, odd boolean, n bigint")
-    spelled = plain.unionByName(odd).withColumn("form", F.collate("mapped", "UNICODE"))
-    members = spelled.groupBy("form", "mapped").agg(F.sum("n").alias("n"))
-    chosen = members.groupBy("form").agg(F.min(F.struct((-F.col("n")).alias("k"), F.col("mapped").alias("m")))["m"].alias("canonical"))
-    return spelled.join(chosen, "form").select("value", "mapped", "odd", "canonical")
+    plain = counted.where("not suspicious").select("value", F.col("value").alias("mapped"), "n")
+    odd = counted.where("suspicious").select("value", "n").mapInPandas(_map_values, "value string, mapped string, n bigint")
+    others = F.when(F.octet_length("mapped") == F.char_length("mapped"), "").otherwise(F.regexp_replace("mapped", "[\\x00-\\u024F\\u1E00-\\u1EFF]", ""))
+    spelled = plain.unionByName(odd).withColumns({"form": F.collate("mapped", "UNICODE"), "others": others})
+    members = spelled.groupBy("form", "others", "mapped").agg(F.sum("n").alias("n"))
+    chosen = members.groupBy("form", "others").agg(F.min(F.struct((-F.col("n")).alias("k"), F.col("mapped").alias("m")))["m"].alias("canonical"))
+    return spelled.join(chosen, ["form", "others"]).select("value", "mapped", "canonical")
 
 
 def unify_fields(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """``key, field, value, canonical, odd`` for every non-NULL value of ``fields``.
+    """``key, field, value, mapped, canonical, changed`` for every non-NULL value of ``fields``.
 
-    One row for each row of ``df`` and field, also when keys repeat; NULL fields make no row. Only ``key``
-    and ``fields`` are read, so extra columns don't matter.
+    One row for each row of ``df`` and field, also when keys repeat; NULL fields make no row. ``changed`` says that the
+    value is not its class's canonical member. Only ``key`` and ``fields`` are read, so extra columns don't matter.
     """
     long = df.select(F.col(key), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields))).alias("x")).select(key, "x.field", "x.value").where("value is not null")
     forms = canonical_values(long.select("value"))
-    return long.join(forms, "value").select(key, "field", "value", "canonical", "mapped", "odd")
+    return long.join(forms, "value").select(key, "field", "value", "mapped", "canonical", (F.col("value") != F.col("canonical")).alias("changed"))

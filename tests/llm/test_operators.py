@@ -175,7 +175,7 @@ def test_unify_fields(spark):
     df = spark.createDataFrame(rows, "id bigint, name string, addr string").withColumn("value", F.lit("q"))
     got = unicode_forms.unify_fields(df, "id", ["name", "addr"])
     assert got.count() == 9
-    assert {(r["field"], r["value"]): r["canonical"] for r in got.collect() if r["odd"]} == {("name", "café A"): "café A", ("addr", "x​"): "x", ("name", "LΝ"): "LN"}
+    assert {(r["field"], r["value"]): r["canonical"] for r in got.collect() if r["changed"]} == {("name", "café A"): "café A", ("addr", "x​"): "x", ("name", "LΝ"): "LN"}
     classes = {}
     for r in got.collect():
         classes.setdefault(unicodedata.normalize("NFC", r["mapped"]), set()).add(r["canonical"])
@@ -415,9 +415,21 @@ def test_candidates_of_a_common_building(spark):
 def test_foreign_letter_in_a_latin_word(spark, letter):
     """By property, as the query's SQL has it: any letter outside the ordinary Latin ranges, and never one beside them only."""
     df = spark.createDataFrame([(0, f"Mo{letter}per"), (1, f"Mooper {letter}")], "id bigint, name string")
-    got = {r["id"]: r["odd"] for r in unicode_forms.unify_fields(df, "id", ["name"]).collect()}
+    got = {r["id"]: r["changed"] for r in unicode_forms.unify_fields(df, "id", ["name"]).collect()}
     assert got[0] and not got[1]
 
 
+def test_the_class_decides_what_changed(spark):
+    """Consistent forms are fixed points; joiners inside Indic words and texts in other scripts keep their spelling."""
+    texts = ["Mo株per", "x̂y", "Caf́e", "Cafе́", "ﬁ​Ωx", "Ｍо́o", "ǃx̄ a", "plain", "Дружба й"]
+    for t in texts:
+        form, changed = unicode_forms.consistent_form(t)
+        assert unicode_forms.consistent_form(form) == (form, False) and changed == (form != t)
+    rows = [(i, t) for i, t in enumerate(["कि‍ज़", "किज़", "किज़", "Дружба й", "Дружба й", "café", "café", "café", "Cafe", "Саfe", "Саfe"])]
+    got = {r["id"] for r in unicode_forms.unify_fields(spark.createDataFrame(rows, "id bigint, name string"), "id", ["name"]).where("changed").collect()}
+    odd = {i for i, t in rows if unicode_forms.consistent_form(t)[1]}
+    assert got == odd
+
+
 def test_indic_letters_are_not_foreign():
     assert unicode_forms.consistent_form("Кафе कabc ªº") == ("Кафе कabc ªº", False)
