@@ -156,10 +156,18 @@ def canonical_values(values: DataFrame) -> DataFrame:
     plain = counted.where("not suspicious").select("value", F.col("value").alias("mapped"), "n")
     odd = counted.where("suspicious").select("value", "n").mapInPandas(_map_values, "value string, mapped string, n bigint")
     others = F.when(F.octet_length("mapped") == F.char_length("mapped"), "").otherwise(F.regexp_replace("mapped", "[\\x00-\\u024F\\u1E00-\\u1EFF]", ""))
-    spelled = plain.unionByName(odd).withColumns({"form": F.collate("mapped", "UNICODE"), "others": others})
-    members = spelled.groupBy("form", "others", "mapped").agg(F.sum("n").alias("n"))
-    chosen = members.groupBy("form", "others").agg(F.min(F.struct((-F.col("n")).alias("k"), F.col("mapped").alias("m")))["m"].alias("canonical"))
-    return spelled.join(chosen, ["form", "others"]).select("value", "mapped", "canonical")
+    # Members of a class have the same plain letters and digits: sorted by their hash first, few texts need a collated comparison.
+    letters = F.xxhash64(F.regexp_replace("mapped", "[^A-Za-z0-9]+", ""))
+    spelled = plain.unionByName(odd).withColumns({"letters": letters, "others": others})
+    members = spelled.groupBy("letters", "others", "mapped").agg(F.sum("n").alias("n")).withColumn("form", F.collate("mapped", "UNICODE"))
+    first = F.min(F.struct((-F.col("n")).alias("k"), F.col("mapped").alias("m")))["m"]
+    classes = members.groupBy("letters", "others", "form").agg(first.alias("member"), F.count(F.lit(1)).alias("members"))
+    # A text that is alone in its class is its canonical member, so only the other classes are joined back.
+    several = classes.where("members > 1").select("letters", "others", F.col("form").alias("class"), "member")
+    same = F.when(F.collate("mapped", "UNICODE") == F.col("class"), True).otherwise(False)
+    l, r = spelled.alias("l"), several.alias("r")
+    joined = l.join(r, (F.col("l.letters") == F.col("r.letters")) & (F.col("l.others") == F.col("r.others")) & same, "left")
+    return joined.select("value", "mapped", F.coalesce("member", "mapped").alias("canonical"))
 
 
 def unify_fields(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
