@@ -3,9 +3,10 @@
 Two texts that share a span of ``length`` characters share, in every window of that length, the k-gram with
 the least hash (a minimizer). Hashes met in one document only are dropped first, so unique text goes no
 further than one pass. Around every other minimizer the stretch that holds all windows with that minimizer is
-cut out, equal stretches are put together, and the stretches of one minimizer meet in one shard. There an
-FM-index is built over them, and each stretch is streamed against it by backward search. A minimizer with very
-many different stretches is not gathered: its windows are counted by their hash instead.
+cut out, equal stretches are put together, and the stretches of one minimizer make a shard. There an
+FM-index is built over them, and each stretch is streamed against it by backward search: every span that comes
+out is one the index has found, also where whole stretches are equal. A minimizer with very many different
+stretches makes several shards, of two chunks each, so that every two of its stretches meet in one.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlink.llm.blocks import in_chunks
 from loomlink.llm.fm_index import FMIndex
 from loomlink.session import cut
 
@@ -98,17 +100,19 @@ def _cut_out(length: int, gram: int):
 
 
 def shared_range(texts: list[str], owners: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each text of one minimizer, where its windows that another owner has begin and end (0, 0: none)."""
+    """For each text of one minimizer, where its windows that another owner has begin and end (0, 0: none).
+
+    The owner -1 stands for several owners of one text, each of which has another beside it.
+    """
     index = FMIndex(texts, owners)
     begin, end = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     last = index.lengths - length
-    many = (owners == -1) & (last >= 0)
-    end[many] = index.lengths[many]
-    live = np.flatnonzero((owners != -1) & (last >= 0))
+    asks = np.where(owners == -1, -2, owners)
+    live = np.flatnonzero(last >= 0)
     start, found = np.zeros(len(live), np.int64), []
     # From the left: a window that fails at i can only be followed by one that begins behind i.
     while len(live):
-        size = index.matched(live, start + length, length, owners[live])
+        size = index.matched(live, start + length, length, asks[live])
         hit = size == length
         begin[live[hit]] = start[hit]
         found.append(live[hit])
@@ -119,7 +123,7 @@ def shared_range(texts: list[str], owners: np.ndarray, length: int) -> tuple[np.
     # From the right, down to the window that is known to be shared.
     start = last[live]
     while len(live):
-        size = index.matched(live, start + length, length, owners[live])
+        size = index.matched(live, start + length, length, asks[live])
         hit = size == length
         end[live[hit]] = start[hit] + length
         live, start = live[~hit], start[~hit] - 1
@@ -129,7 +133,7 @@ def shared_range(texts: list[str], owners: np.ndarray, length: int) -> tuple[np.
 def _search(length: int):
     def work(held: list[pd.DataFrame]) -> pd.DataFrame:
         df = pd.concat(held, ignore_index=True)
-        begin, end = shared_range(df["part"].tolist(), df["owner"].to_numpy(), length)
+        begin, end = shared_range(df["stretch"].tolist(), df["owner"].to_numpy(), length)
         out = pd.DataFrame({"h": df["h"], "part_id": df["part_id"], "begin_at": begin.astype(np.int32), "end_at": end.astype(np.int32)})
         return out[end > begin]
 
@@ -138,9 +142,9 @@ def _search(length: int):
         for df in batches:
             if df.empty:
                 continue
-            # Rows come sorted by minimizer; a block ends only between two of them.
+            # Rows come sorted by shard; a frame ends only between two of them.
             if size > _BLOCK_CHARS:
-                old = df["h"].to_numpy() == held[-1]["h"].iloc[-1]
+                old = df["block"].to_numpy() == held[-1]["block"].iloc[-1]
                 if old.any():
                     held.append(df[old])
                     df = df[~old]
@@ -149,34 +153,20 @@ def _search(length: int):
                     held, size = [], 0
             if len(df):
                 held.append(df)
-                size += int(df["part"].str.len().sum())
+                size += int(df["stretch"].str.len().sum())
         if held:
             yield work(held)
 
     return search
 
 
-def _windows(length: int):
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        for df in batches:
-            out = []
-            for h, part_id, part, lo, hi in zip(df["h"], df["part_id"], df["part"], df["lo"], df["hi"]):
-                for i in range(len(part) - length + 1):
-                    out.append((h, part_id, i, xxhash.xxh3_128_digest(part[i : i + length].encode("utf-8", "surrogatepass")), lo, hi))
-            yield pd.DataFrame(out, columns=["h", "part_id", "i", "w", "lo", "hi"])
-
-    return windows
-
-
 def shared_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gather: int = 20_000) -> DataFrame:
     """``doc_id, begin_at, end_at``: the maximal runs of positions that lie in a span of ``length`` characters also in another document.
 
     Characters are code points counted from 0. Read is ``docs(doc_id, text)``; NULL ids and NULL or shorter texts
     share nothing. Rows with the same ``doc_id`` are one document: the spans of all its texts are reported
-    together, and a span that only they share is not shared. ``gather`` bounds the different stretches of one
-    minimizer that come together in a task; those of others are counted window by window, with the same result.
+    together, and a span that only they share is not shared. ``gather`` bounds the different stretches in a shard's
+    index; the stretches of a minimizer that has more are searched in several, with the same result.
     """
     if not length // 2 <= gram < length:
         raise ValueError("gram must be at least half of length, and less than it")
@@ -187,18 +177,13 @@ def shared_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gather
     places = cut(
         texts.join(wanted, "doc_id").mapInPandas(_cut_out(length, gram), "h bigint, doc_id bigint, at int, part string").withColumn("part_id", F.xxhash64("part"))
     )
-    parts = places.groupBy("h", "part_id").agg(F.min("part").alias("part"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    parts = cut(parts)
-    kinds = parts.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
-    sized = parts.join(kinds, "h")
-    whole = sized.where((F.col("lo") != F.col("hi")) & (F.char_length("part") >= length)).select("h", "part_id", F.lit(0).alias("begin_at"), F.char_length("part").alias("end_at"))
-    few = sized.where(F.col("kinds").between(2, gather)).withColumn("owner", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.lit(-1)))
-    # Many more partitions than cores aren't needed: a task holds one block at a time.
-    searched = few.select("h", "part_id", "part", "owner").repartition("h").sortWithinPartitions("h").mapInPandas(_search(length), "h bigint, part_id bigint, begin_at int, end_at int")
-    windows = sized.where(F.col("kinds") > gather).select("h", "part_id", "part", "lo", "hi").mapInPandas(_windows(length), "h bigint, part_id bigint, i int, w binary, lo bigint, hi bigint")
-    common = windows.groupBy("w").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("w")
-    counted = windows.join(common, "w").groupBy("h", "part_id").agg(F.min("i").alias("begin_at"), (F.max("i") + length).alias("end_at"))
-    ranges = whole.unionByName(searched).unionByName(counted).distinct()
+    several = F.min("doc_id") != F.max("doc_id")
+    parts = places.groupBy("h", "part_id").agg(F.min("part").alias("stretch"), F.when(several, -1).otherwise(F.min("doc_id")).alias("owner"))
+    shards = in_chunks(cut(parts.withColumn("block", F.col("h"))), "part_id", gather).select("block", "h", "part_id", "stretch", "owner")
+    schema = "h bigint, part_id bigint, begin_at int, end_at int"
+    searched = shards.repartition("block").sortWithinPartitions("block").mapInPandas(_search(length), schema)
+    # Windows with one and the same minimizer overlap, so what several shards have found of a stretch is one range.
+    ranges = searched.groupBy("h", "part_id").agg(F.min("begin_at").alias("begin_at"), F.max("end_at").alias("end_at"))
     found = places.select("h", "part_id", "doc_id", "at").join(ranges, ["h", "part_id"])
     return merge_runs(found.select("doc_id", (F.col("at") + F.col("begin_at")).alias("begin_at"), (F.col("at") + F.col("end_at")).alias("end_at")))
 

@@ -319,7 +319,7 @@ def brute_spans(docs, length):
     return out
 
 
-@pytest.mark.parametrize("gather", [20_000, 1])
+@pytest.mark.parametrize("gather", [20_000, 4])
 def test_spans_against_brute_force(spark, gather):
     rnd = random.Random(9)
     pool = ["".join(rnd.choice("abcde é नि😀") for _ in range(rnd.randrange(30, 90))) for _ in range(12)]
@@ -339,6 +339,14 @@ def test_same_id_shares_nothing_with_itself(spark):
     assert {r["doc_id"]: r["share"] for r in share.collect()} == {1: 1.0, 2: 0.0}
 
 
+def test_equal_stretches_are_found_by_the_index():
+    """Texts of several owners (-1), alone or beside others, come out whole; a text of one owner only where another has it."""
+    t = "abcdefghijklmnopqrst"
+    begin, end = spans.shared_range([t, "xx" + t[3:15] + "yy", "zzzzzzzzzzzz"], np.array([-1, 7, 8]), 10)
+    assert list(zip(begin, end)) == [(0, 20), (2, 14), (0, 0)]
+    assert spans.shared_range([t], np.array([-1]), 10)[1][0] == 20 and spans.shared_range([t], np.array([5]), 10)[1][0] == 0
+
+
 def test_matching_statistics():
     texts = ["banana", "bandana", "ananas", "xyz"]
     index = FMIndex(texts, np.arange(4))
