@@ -44,7 +44,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+_MOST_BYTES = 1 << 50
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and stored in the shared checkpoint folder, its lineage cut."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once and stored in the shared checkpoint folder, its lineage cut.
+
+    A checkpoint keeps the optimizer's guess of its size. The guess for a join is the product of its sides, so over many
+    steps it becomes a number so long that planning hardly ends; a guess beyond any sense is dropped here.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    done = df.checkpoint(eager=True)
+    plan = done._jdf.queryExecution()
+    if plan.optimizedPlan().stats().sizeInBytes() <= _MOST_BYTES:
+        return done
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), done._jdf.schema(), False), spark)
