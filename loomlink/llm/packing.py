@@ -20,11 +20,19 @@ from pyspark.sql import functions as F
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 
+_MOST_TOKENIZER_BYTES = 64 << 20
+
+
 @cache
-def encoding(path: str, pattern: str | None = None):
-    """The tiktoken encoding of a rank file."""
+def _encoding_of(ranks: bytes, pattern: str):
     import tiktoken
 
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+
+
+def tokenizer_files(path: str, pattern: str | None = None) -> tuple[bytes, str]:
+    """The rank file and the pattern that splits text, which the module beside the file names unless it is given."""
     if pattern is None:
         import importlib.util
         import os
@@ -34,16 +42,27 @@ def encoding(path: str, pattern: str | None = None):
         spec.loader.exec_module(files)
         pattern = files.PATTERN
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return f.read(), pattern
 
 
-def token_counts(df: DataFrame, text: str, path: str = TOKENIZER, out: str = "n_tokens") -> DataFrame:
-    """``df`` with the number of tokens of ``text``; NULL and empty text have 0."""
+def encoding(path: str, pattern: str | None = None):
+    """The tiktoken encoding of a rank file."""
+    return _encoding_of(*tokenizer_files(path, pattern))
+
+
+def token_counts(df: DataFrame, text: str, path: str = TOKENIZER, out: str = "n_tokens", pattern: str | None = None) -> DataFrame:
+    """``df`` with the number of tokens of ``text``; NULL and empty text have 0.
+
+    The tokenizer's file is read by the driver only and broadcast, once its size is found to be within bounds.
+    """
+    files = tokenizer_files(path, pattern)
+    if len(files[0]) > _MOST_TOKENIZER_BYTES:
+        raise ValueError(f"{path} is too large for every task to hold")
+    shared = df.sparkSession.sparkContext.broadcast(files)
 
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
-        enc = encoding(path)
+        enc = _encoding_of(*shared.value)
         return pd.Series([len(enc.encode_ordinary(t)) if t else 0 for t in texts], dtype="int32")
 
     return df.withColumn(out, count(F.col(text)))

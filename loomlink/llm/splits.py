@@ -2,8 +2,8 @@
 
 Components come from a frontier search: the adjacency lists lie hash-partitioned, every node that hashes
 below all its neighbours is a seed, and all seeds expand at once, level by level. Where two labels meet, the
-pair goes into a graph of labels, far smaller than the graph, which is solved the same way. The components
-then fill the splits in the order of a hash.
+pair goes into a graph of labels, far smaller than the graph, which is solved the same way; once it has no more
+than a bounded number of edges, by one task. The components then fill the splits in the order of a hash.
 """
 
 from __future__ import annotations
@@ -17,49 +17,80 @@ from pyspark.sql import functions as F
 from loomlink.session import cut
 
 
-def connected_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """``node, component`` of every node of ``edges(a, b)``.
+_HOT = 10_000
+
+
+def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``node, component`` of a small graph: each component by its first node in the order of ``h``."""
+    parent: dict[str, str] = {}
+    rank: dict[str, int] = {}
+
+    def find(x: str) -> str:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for df in batches:
+        for a, ha, b, hb in zip(df["a"], df["ha"], df["b"], df["hb"]):
+            for node, h in ((a, ha), (b, hb)):
+                if node not in parent:
+                    parent[node], rank[node] = node, h
+            x, y = find(a), find(b)
+            if x != y:
+                if (rank[x], x) > (rank[y], y):
+                    x, y = y, x
+                parent[y] = x
+    nodes = list(parent)
+    yield pd.DataFrame({"node": nodes, "component": [find(x) for x in nodes]}, dtype=object)
+
+
+def _winners(met: DataFrame, order) -> DataFrame:
+    """``met(node, label, held)`` with the label that each node takes: the one it holds, else the least.
+
+    The least is found by partial aggregates, so a hub's labels needn't meet in a task; those of a node with more
+    than ``_HOT`` labels, of which there are few, are joined by broadcast.
+    """
+    least = cut(met.groupBy("node").agg(F.min(order("label"))["v"].alias("first"), F.count(F.lit(1)).alias("n")))
+    hot = least.where(F.col("n") > _HOT)  # at most one in _HOT rows of met
+    joined = met.join(least.where(F.col("n") <= _HOT), "node")
+    if not hot.isEmpty():
+        joined = joined.unionByName(met.join(F.broadcast(hot), "node"))
+    return joined.withColumn("winner", F.coalesce("held", "first")).drop("first", "n")
+
+
+def connected_components(edges: DataFrame, rounds: int = 1000, one_task: int = 500_000) -> DataFrame:
+    """``node, component`` of every node of ``edges(a, b)``, both strings.
 
     NULL ends and loops make no edge, but the other end of such a row stays a node. Repeated edges count
-    once. The component is one of its nodes; the same input gives the same components.
+    once. The component is its node with the least hash, so the same input gives the same components; a graph of at
+    most ``one_task`` edges is solved by one task, with the same result.
     """
     edges = edges.select("a", "b")
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct()
-    adjacent = cut(
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.col("a").alias("to")))).alias("e"))
-        .select("e.*")
-        .distinct()
-    )
+    apart = cut(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
-    labels = cut(
-        adjacent.groupBy("node").agg(F.min(order("to")).alias("least")).where(order("node") < F.col("least")).select("node", F.col("node").alias("label"))
-    )
-    if labels.isEmpty():
-        return nodes.select("node", F.col("node").alias("component"))
-    frontier, collisions = labels, []
+    if apart.count() <= one_task:
+        hashed = apart.select("a", F.xxhash64("a").alias("ha"), "b", F.xxhash64("b").alias("hb"))
+        solved = hashed.coalesce(1).mapInPandas(_solve, "node string, component string")
+        return nodes.join(solved, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    both = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.col("a").alias("to"))))
+    adjacent = cut(apart.select(both.alias("e")).select("e.*"))
+    labels = cut(adjacent.groupBy("node").agg(F.min(order("to")).alias("least")).where(order("node") < F.col("least")).select("node", F.col("node").alias("label")))
+    frontier, collisions = labels, None
     for _ in range(rounds):
-        met = frontier.join(adjacent, "node").groupBy("to", "label").agg(F.lit(1).alias("x")).select(F.col("to").alias("node"), "label")
-        known = labels.select("node", F.col("label").alias("held"))
-        met = cut(met.join(known, "node", "left").withColumn("winner", F.coalesce("held", F.min(order("label")).over(Window.partitionBy("node"))["v"])))
-        collisions.append(met.where("label <> winner").select(F.col("label").alias("a"), F.col("winner").alias("b")).distinct())
+        reached = frontier.join(adjacent, "node").select(F.col("to").alias("node"), "label").distinct()
+        met = cut(_winners(cut(reached.join(labels.select("node", F.col("label").alias("held")), "node", "left")), order))
+        clash = met.where("label <> winner").select(F.least("label", "winner").alias("a"), F.greatest("label", "winner").alias("b"))
+        collisions = cut((clash if collisions is None else collisions.unionByName(clash)).distinct())
         frontier = met.where("held is null and label = winner").select("node", "label")
         if frontier.isEmpty():
             break
-        labels = labels.unionByName(frontier)
+        labels = cut(labels.unionByName(frontier))
     else:
         raise RuntimeError(f"the search did not end in {rounds} rounds")
-    labels = cut(labels)
-    joined = collisions[0]
-    for c in collisions[1:]:
-        joined = joined.unionByName(c)
-    joined = cut(joined.distinct())
-    if joined.isEmpty():
-        solved = labels.select("node", F.col("label").alias("component"))
-    else:
-        # The winner of a meeting has the least hash, so the stars that meetings make are solved in one level.
-        merged = cut(connected_components(joined, rounds).select(F.col("node").alias("label"), "component"))
-        solved = cut(labels.join(merged, "label", "left").select("node", F.coalesce("component", "label").alias("component")))
+    # The winner of a meeting has the least hash, so the stars that meetings make are solved in one level.
+    merged = cut(connected_components(collisions, rounds, one_task).select(F.col("node").alias("label"), "component"))
+    solved = cut(labels.join(merged, "label", "left").select("node", F.coalesce("component", "label").alias("component")))
     return nodes.join(solved, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 

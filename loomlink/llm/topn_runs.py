@@ -2,21 +2,27 @@
 
 Plan: the scored pairs are spread by a hash of the whole pair, so no group, however large, lies in
 one task. Every task sorts its share (JVM, with spill) by bucket, group, score and item, keeps the
-first N of each group (nothing later in a run can be among the N best) and writes it out as runs:
-packed arrays, one chunk per batch. The runs of a bucket meet in one task, which merges them with a
-tree of losers; once N items of a group are out, every run seeks to its next group.
+first N of each group (nothing later in a run can be among the N best) and stores it as runs:
+chunks of packed arrays, each with its first key. The chunks of a bucket come to one task in the order of their
+first keys (sorted by the JVM, with spill), so that the task can merge the runs as a stream: it holds only the chunks
+that have begun and not ended. It merges them with a tree of losers; once N items of a group are out, every run
+seeks to its next group. The number of buckets should grow with the rows.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_RUN = "bucket int, run bigint, seq bigint, groups binary, scores binary, items binary"
+_RUN = "bucket int, first_group bigint, first_score double, first_item bigint, run bigint, groups binary, scores binary, items binary"
+_CHUNK_ROWS, _OUT_ROWS = 8192, 50_000
 
 
 class LoserTree:
@@ -59,47 +65,101 @@ class LoserTree:
 _END = (2, 0, 0.0, 0)
 
 
+class Run:
+    """A sorted run that comes in chunks ``(groups, scores, items)``; its head is the next row that has come."""
+
+    def __init__(self):
+        self.chunks: deque[tuple] = deque()
+        self.at = self.size = 0
+
+    def add(self, groups: np.ndarray, scores: np.ndarray, items: np.ndarray) -> None:
+        self.chunks.append((groups, scores, items))
+        if self.at == self.size:
+            self._open()
+
+    def _open(self) -> None:
+        self.at = self.size = 0
+        if self.chunks:
+            g, s, i = self.chunks.popleft()
+            stops = np.append(np.flatnonzero(g[1:] != g[:-1]) + 1, len(g))
+            self.ends = np.repeat(stops, np.diff(stops, prepend=0)).tolist()
+            self.groups, self.scores, self.items, self.size = g.tolist(), s.tolist(), i.tolist(), len(g)
+
+    def head(self) -> tuple:
+        p = self.at
+        return (1, self.groups[p], -self.scores[p], self.items[p]) if p < self.size else _END
+
+    def step(self, seek: bool) -> None:
+        """To the next row, or to the next group."""
+        self.at = self.ends[self.at] if seek else self.at + 1
+        if self.at >= self.size:
+            self._open()
+
+
+class RunMerger:
+    """Merges runs whose chunks come in the order of their first keys; what is below a new chunk's first key can go out before it.
+
+    Runs that begin, or go on after they had ended for now, wait in a small heap beside the tree, which takes them in
+    when they have become many.
+    """
+
+    def __init__(self, n: int):
+        self.n, self.runs, self.tree, self.beside = n, {}, LoserTree([]), []
+        self.leaves: list[int] = []
+        self.group, self.taken = None, 0
+
+    def add(self, run: int, groups: np.ndarray, scores: np.ndarray, items: np.ndarray) -> None:
+        r = self.runs.setdefault(run, Run())
+        ended = r.at == r.size
+        r.add(groups, scores, items)
+        if ended:
+            heapq.heappush(self.beside, (*r.head(), run))
+            if len(self.beside) > 16 + len(self.leaves) // 2:
+                self.leaves = [k for k, r in self.runs.items() if r.at < r.size]
+                self.tree, self.beside = LoserTree([self.runs[k].head() for k in self.leaves]), []
+
+    def until(self, stop: tuple = _END) -> Iterator[tuple[int, int, float, int]]:
+        """``(group, item, score, place)`` of the rows below ``stop`` that are among their group's first ``n``."""
+        while True:
+            best = self.tree.heads[self.tree.winner] if self.leaves else _END
+            aside = bool(self.beside) and self.beside[0][:4] < best
+            key = self.beside[0][:4] if aside else best
+            if key >= stop:
+                return
+            if key[1] != self.group:
+                self.group, self.taken = key[1], 0
+            full = self.taken == self.n
+            if not full:
+                self.taken += 1
+                yield key[1], key[3], -key[2], self.taken
+            if aside:
+                r = self.runs[self.beside[0][4]]
+                r.step(full)
+                if r.at < r.size:
+                    heapq.heapreplace(self.beside, (*r.head(), self.beside[0][4]))
+                else:
+                    heapq.heappop(self.beside)
+            else:
+                leaf = self.tree.winner
+                r = self.runs[self.leaves[leaf]]
+                r.step(full)
+                self.tree.replace(leaf, r.head())
+
+
 def merge_runs(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> Iterator[tuple[int, int, float, int]]:
     """``(group, item, score, place)`` of the ``n`` first items of every group of the sorted runs."""
-    runs = [r for r in runs if len(r[0])]
-    if not runs:
-        return
-    groups = [g.tolist() for g, _, _ in runs]
-    scores = [s.tolist() for _, s, _ in runs]
-    items = [i.tolist() for _, _, i in runs]
-    ends = []
-    for g, _, _ in runs:
-        stops = np.append(np.flatnonzero(g[1:] != g[:-1]) + 1, len(g))
-        ends.append(np.repeat(stops, np.diff(stops, prepend=0)).tolist())
-    at = [0] * len(runs)
-
-    def head(r: int) -> tuple:
-        p = at[r]
-        return (1, groups[r][p], -scores[r][p], items[r][p]) if p < len(groups[r]) else _END
-
-    tree = LoserTree([head(r) for r in range(len(runs))])
-    current, taken = None, 0
-    while True:
-        r = tree.winner
-        key = tree.heads[r]
-        if key is _END:
-            return
-        if key[1] != current:
-            current, taken = key[1], 0
-        if taken == n:
-            at[r] = ends[r][at[r]]
-        else:
-            taken += 1
-            yield current, key[3], -key[2], taken
-            at[r] += 1
-        tree.replace(r, head(r))
+    merger = RunMerger(n)
+    for k, run in enumerate(runs):
+        if len(run[0]):
+            merger.add(k, *run)
+    return merger.until()
 
 
 def _form_runs(n: int):
     def form(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        run, seq, last, before = TaskContext.get().partitionId(), 0, None, 0
+        run, last, before = TaskContext.get().partitionId(), None, 0
         for df in batches:
             if df.empty:
                 continue
@@ -110,34 +170,36 @@ def _form_runs(n: int):
             if last == group[0]:
                 place[: sizes[0]] += before
             last, before = group[-1], place[-1] + 1
-            keep = place < n
+            kept = np.flatnonzero(place < n)
             score, item = df["score"].to_numpy(), df["item"].to_numpy()
-            out = []
-            for b in np.unique(bucket):
-                m = keep & (bucket == b)
-                if m.any():
-                    out.append((int(b), run, seq, group[m].tobytes(), score[m].tobytes(), item[m].tobytes()))
-                    seq += 1
-            yield pd.DataFrame(out, columns=["bucket", "run", "seq", "groups", "scores", "items"])
+            ends = np.append(np.flatnonzero(np.diff(bucket[kept])) + 1, len(kept)) if len(kept) else []
+            out, begin = [], 0
+            for end in ends:
+                for at in range(begin, end, _CHUNK_ROWS):
+                    m = kept[at : min(end, at + _CHUNK_ROWS)]
+                    out.append((int(bucket[m[0]]), group[m[0]], -score[m[0]], item[m[0]], run, group[m].tobytes(), score[m].tobytes(), item[m].tobytes()))
+                begin = end
+            yield pd.DataFrame(out, columns=["bucket", "first_group", "first_score", "first_item", "run", "groups", "scores", "items"])
 
     return form
 
 
 def _merge(n: int):
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, dict[int, list]] = {}
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, float, int]]:
+        bucket, merger = None, RunMerger(n)
         for df in batches:
             for row in df.itertuples(index=False):
-                held.setdefault(row.bucket, {}).setdefault(row.run, []).append((row.seq, row.groups, row.scores, row.items))
-        for bucket in sorted(held):
-            runs = []
-            for chunks in held[bucket].values():
-                chunks.sort(key=lambda c: c[0])
-                runs.append(tuple(np.frombuffer(b"".join(c[k] for c in chunks), t) for k, t in ((1, np.int64), (2, np.float64), (3, np.int64))))
-            out = list(merge_runs(runs, n))
-            held[bucket] = {}
-            if out:
-                yield pd.DataFrame(out, columns=["grp", "item", "score", "place"])
+                if row.bucket != bucket:
+                    yield from merger.until()
+                    bucket, merger = row.bucket, RunMerger(n)
+                yield from merger.until((1, row.first_group, row.first_score, row.first_item))
+                merger.add(row.run, *(np.frombuffer(x, t) for x, t in ((row.groups, np.int64), (row.scores, np.float64), (row.items, np.int64))))
+        yield from merger.until()
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = merged(batches)
+        while out := list(islice(rows, _OUT_ROWS)):
+            yield pd.DataFrame(out, columns=["grp", "item", "score", "place"])
 
     return merge
 
@@ -159,7 +221,8 @@ def top_n_per_group(df: DataFrame, group: str, item: str, score: str, n: int, bu
         F.col(item).cast("bigint").alias("item"),
     ).where("grp is not null and item is not null and score is not null and not isnan(score)")
     runs = rows.sortWithinPartitions("bucket", "grp", F.desc("score"), "item").mapInPandas(_form_runs(n), _RUN)
-    merged = runs.repartition(buckets, "bucket").mapInPandas(_merge(n), "grp bigint, item bigint, score double, place int")
+    order = ["bucket", "first_group", "first_score", "first_item"]
+    merged = runs.repartition(buckets, "bucket").sortWithinPartitions(*order).mapInPandas(_merge(n), "grp bigint, item bigint, score double, place int")
     return merged.select(F.col("grp").alias(group), F.col("item").alias(item), F.col("score").alias(score), "place")
 
 

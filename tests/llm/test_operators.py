@@ -98,6 +98,26 @@ def test_loser_tree_merges_any_number_of_runs():
         assert list(topn_runs.merge_runs(runs, 3)) == want
 
 
+def test_merge_of_runs_that_come_in_chunks():
+    """Chunks in the order of their first keys: the rows come out the same, and only begun chunks are held."""
+    rnd = random.Random(33)
+    for n, size in ((1, 1), (3, 2), (5, 7)):
+        runs = [sorted({(rnd.randrange(40), -rnd.randrange(4) / 2, rnd.randrange(1000) * 70 + r) for _ in range(rnd.randrange(60))}) for r in range(70)]
+        chunks = sorted((run[at], r, run[at : at + size]) for r, run in enumerate(runs) for at in range(0, len(run), size))
+        merger, got, held = topn_runs.RunMerger(n), [], 0
+        for first, r, rows in chunks:
+            got += merger.until((1, *first))
+            merger.add(r, np.array([x[0] for x in rows], np.int64), -np.array([x[1] for x in rows], float), np.array([x[2] for x in rows], np.int64))
+            held = max(held, max(len(x.chunks) for x in merger.runs.values()))
+        got += merger.until()
+        want, seen = [], {}
+        for g, s, i in sorted(x for run in runs for x in run):
+            seen[g] = seen.get(g, 0) + 1
+            if seen[g] <= n:
+                want.append((g, i, -s, seen[g]))
+        assert got == want and held <= 1
+
+
 # 3: addresses
 
 
@@ -207,6 +227,18 @@ def test_components_against_union_find(spark):
     assert len({(find(n), c) for n, c in got.items()}) == len({find(n) for n in parent}) == len(set(got.values()))
 
 
+def test_components_of_a_long_path_and_a_star(spark, monkeypatch):
+    """However long the path, and with hubs joined by ``hot`` or not, the components are the same as in one task."""
+    path = [(f"p{i:06}", f"p{i + 1:06}") for i in range(20_000)] + [("hub", f"leaf{i}") for i in range(3000)]
+    edges = spark.createDataFrame(path, "a string, b string")
+    found = splits.connected_components(edges).groupBy("component").count()
+    assert sorted(r["count"] for r in found.collect()) == [3001, 20_001]
+    small = spark.createDataFrame(path[:70] + path[-70:], "a string, b string")
+    want = sorted(map(tuple, splits.connected_components(small).collect()))
+    monkeypatch.setattr(splits, "_HOT", 3)
+    assert sorted(map(tuple, splits.connected_components(small, one_task=10).collect())) == want
+
+
 def test_split_entities(spark):
     cands = [(1, i) for i in range(300)] + [(s, 0) for s in range(2, 900)] + [(None, 1)] * 5 + [(9999, 1)]
     prepared = [(s, f"S1-{s}") for s in range(1, 1000)] + [(2000 + s, f"S2-{s}") for s in range(500)]
@@ -295,6 +327,26 @@ def test_leaks_against_brute_force(spark):
     assert leakage.find_leaks(d.limit(0), i).count() == 0 and leakage.find_leaks(d, i.limit(0)).count() == 0
 
 
+def test_common_passages_come_in_bounded_steps(monkeypatch):
+    ids, texts = np.arange(6), ["a b c d e " * 30, "b c d e a b c", "x y z " * 9, "e a b c d q", "", "c d e a " * 4]
+    item_texts = [["a b c d e a b c", "z x y z x"], ["c d e a c d"]]
+    blocks = [(np.arange(len(t)) + 10 * k, *leakage.word_codes(t)) for k, t in enumerate(item_texts)]
+
+    def best():
+        found = {}
+        for df in leakage.leaked_in_block(ids, texts, blocks, 3):
+            for r in df.itertuples(index=False):
+                key = (r.doc_id, r.item_id)
+                found[key] = max(found.get(key, (0, 0, 0)), (r.n_words, -r.doc_word, -r.item_word))
+        return found
+
+    whole = best()
+    assert whole
+    for at_once in (1, 2, 7):
+        monkeypatch.setattr(leakage, "_SPOTS_AT_ONCE", at_once)
+        assert best() == whole
+
+
 # 9: spans
 
 
