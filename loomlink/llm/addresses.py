@@ -1,10 +1,12 @@
-"""One building, many wordings of its address: a containment join on shared tokens.
-
-An address is taken apart into house number, street, town; equal results are one form. The number within the town is
-the one token that all wordings of a building share letter for letter, as the spelling of a street varies; so every
-form is indexed under it, and all forms under one token are compared, those of a large one chunk against chunk.
-Town and number must be equal and the kind of street must not contradict; then the street decides: the longest common
-subsequence against both names, or against the shorter one where the other contains it. Tokens carry no weights.
+"""One building, many wordings of its address: a containment join on weighted tokens.
+
+An address is taken apart into tokens: house number within the town, street, kind of street; equal results are one
+form. A token weighs the more the rarer it is among all forms (logarithm of the forms over those that bear it). Missing
+parts, such as the kind, only make an address less full. The rarest token that all wordings of a building share letter
+for letter is the number within the town, as the spelling of a street varies; every form is indexed under it, and the
+forms under one token are compared, those of a large one chunk against chunk. Of two forms the one of the greater weight
+is the fuller; the weight of the other's tokens that it contains decides, a street counting in the share of its longest
+common subsequence. Kinds that are both said and differ contradict.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from loomlink.llm.fields import Gazetteer, parse_address
 from loomlink.llm.lcs import TextColumn, lcs_pairs
 from loomlink.session import cut
 
-ALIKE = 0.7
+HELD = 0.85
 TOO_COMMON = 1000
 _MOST_PLACES = 1_000_000
 
@@ -50,30 +52,34 @@ def _parse(shared):
     return parse
 
 
+def street_share(column: TextColumn, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How much of one street's name the other holds, 0 to 1: their ratio, or a little less than a containment."""
+    common = lcs_pairs(column, left, right)
+    short, long = np.minimum(column.sizes[left], column.sizes[right]), np.maximum(column.sizes[left], column.sizes[right])
+    inside = np.where((short >= 4) & (common >= short - (short >= 7)), common / np.maximum(short, 1), 0.0)
+    return np.maximum(2 * common / np.maximum(short + long, 1), inside * 0.9)
+
+
 def same_building(df: pd.DataFrame, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Whether the forms at ``left`` and ``right`` contain each other well enough and contradict in nothing."""
+    """Whether of the forms at ``left`` and ``right`` the fuller contains the other well enough and contradicts it in nothing.
+
+    The frame has the forms' ``town, number, street, kind`` and the weights ``w_number, w_street, w_kind``.
+    """
     if not len(left):
         return np.zeros(0, bool)
-    codes = {c: pd.factorize(df[c])[0] for c in ("town", "number")}
-    kind = pd.factorize(df["kind"])
-    none = np.flatnonzero(kind[1] == "")
-    blank = int(none[0]) if len(none) else -1
-    ka, kb = kind[0][left], kind[0][right]
-    ok = (codes["town"][left] == codes["town"][right]) & (codes["number"][left] == codes["number"][right])
-    spots = np.flatnonzero(ok)
+    town, number, kind = (pd.factorize(df[c])[0] for c in ("town", "number", "kind"))
+    said = (df["kind"] != "").to_numpy()
+    same_kind = kind[left] == kind[right]
+    spots = np.flatnonzero((town[left] == town[right]) & (number[left] == number[right]) & (same_kind | ~said[left] | ~said[right]))
     out = np.zeros(len(left), bool)
     if not len(spots):
         return out
+    w_number, w_street, w_kind = (df[c].to_numpy() for c in ("w_number", "w_street", "w_kind"))
+    whole = w_number + w_street + w_kind
     a, b = left[spots], right[spots]
-    column = TextColumn(df["street"].tolist())
-    common = lcs_pairs(column, a, b)
-    short, long = np.minimum(column.sizes[a], column.sizes[b]), np.maximum(column.sizes[a], column.sizes[b])
-    alike = 2 * common / (short + long)
-    part = np.where((short >= 4) & (common >= short - (short >= 7)), common / short, 0.0)
-    share = np.maximum(alike, part * 0.9)
-    # The kinds of street: said twice and different, they contradict unless the names agree in full.
-    clash = ((ka != kb) & (ka != blank) & (kb != blank))[spots]
-    out[spots] = (share >= ALIKE) & ~clash
+    less = np.where(whole[a] <= whole[b], a, b)
+    held = w_number[less] + w_street[less] * street_share(TextColumn(df["street"].tolist()), a, b) + np.where(same_kind[spots], w_kind[less], 0.0)
+    out[spots] = held >= HELD * whole[less]
     return out
 
 
@@ -87,9 +93,21 @@ def building_forms(df: DataFrame, places: DataFrame, key: str, addr: str, countr
     return parsed.select("gid", "number", "street", "kind", "town", F.xxhash64("spelling").alias("sp"), F.xxhash64("town", "number", "street", "kind").alias("form_id"))
 
 
+def weighed(forms: DataFrame) -> DataFrame:
+    """``forms`` with ``w_number, w_street, w_kind``: ln of the number of forms over those with the token, plus a little; 0 for a kind not said."""
+    whole = forms.agg(F.count(F.lit(1)).alias("whole"))  # one row
+    for name, on in (("w_number", ["town", "number"]), ("w_street", ["town", "street"]), ("w_kind", ["kind"])):
+        weight = F.log(F.col("whole") / F.col("n")) + 0.01
+        per = forms.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(whole)).select(*on, (weight if name != "w_kind" else F.when(F.col("kind") != "", weight).otherwise(0.0)).alias(name))
+        # There are no more kinds of street than the parser knows.
+        forms = forms.join(F.broadcast(per) if name == "w_kind" else per, on)
+    return forms
+
+
 def link_buildings(forms: DataFrame) -> DataFrame:
     """``a, b`` (a < b): pairs of ``form_id`` of ``forms(form_id, number, street, kind, town)``, each id once, that denote one building."""
-    blocks = forms.select(F.xxhash64("town", "number").alias("block"), "form_id", "number", "street", "kind", "town")
+    columns = ["form_id", "number", "street", "kind", "town", "w_number", "w_street", "w_kind"]
+    blocks = cut(weighed(forms.select(*columns[:5])).select(F.xxhash64("town", "number").alias("block"), *columns))
     blocks = in_chunks(blocks, "form_id", TOO_COMMON)
     found = blocks.repartition("block").sortWithinPartitions("block").mapInPandas(compare_blocks(same_building, "block", "form_id"), "a bigint, b bigint")
     return found.distinct()

@@ -5,6 +5,7 @@ import random
 import unicodedata
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -437,6 +438,15 @@ def test_names_of_a_common_block(spark):
     assert sorted(map(tuple, names.link_forms(df, too_common=2).collect())) == calm
 
 
+def test_weights_decide_a_containment():
+    """The rarer the number within the town, the less of the street's name must be held; what is missing counts by its weight."""
+    df = pd.DataFrame({"town": "t", "number": "7", "street": ["shetetru", "shetakru", "shetetru"], "kind": ["lane", "lane", ""], "w_number": 9.0, "w_street": 8.0, "w_kind": [2.5, 2.5, 0.0]})
+    pairs = np.array([0, 0, 1]), np.array([1, 2, 2])
+    assert addresses.same_building(df, *pairs).tolist() == [True, True, True]
+    assert addresses.same_building(df.assign(w_number=1.0), *pairs).tolist() == [False, True, False]
+    assert addresses.same_building(df.assign(kind=["lane", "road", ""]), *pairs).tolist() == [False, True, True]
+
+
 def test_two_established_spellings_meet(spark):
     at = lambda street, *numbers: [(str(n), street, "street", "US/a") for n in numbers]
     rows = at("shetetru", 1948, 2, 3, 4) + at("shetetro", 1948, 5, 6, 7) + [r for s in ("bavolin", "kermudas", "ploquix", "zandwyf", "hugrint", "myncoste") for r in at(s, 1948)]
