@@ -15,25 +15,8 @@ _CONSONANTS = dict(zip(range(0x15, 0x3A), "k kh g gh ng ch chh j jh n t th d dh
 _VOWELS = dict(zip(range(0x05, 0x15), "a a i i u u r l e e e ai o o o au".split()))
 _SIGNS = dict(zip(range(0x3E, 0x4D), "a i i u u r r e e e ai o o o au".split()))
 # Legal forms and words that say nothing about which organisation it is.
-LEGAL = set("private pvt privaate p limited ltd lt inc incorporated llc llp lp corp corporation co company sarl sas sa eurl cie compagnie".split())
+LEGAL = set("private pvt p limited ltd lt inc incorporated llc llp lp corp corporation co company sarl sas sa eurl cie compagnie".split())
 FILLER = set("the and m s ms messrs c o co of at null group groupe services service house centre center enterprises enterprise agency works shop outlet maison atelier original since official www com".split())
-# Lines of business and family words, each with its usual short forms.
-LINES = {
-    "bakery": "bakeries bky bkry", "ceramics": "ceramic ceram cer", "chemicals": "chemical chem chems", "construction": "constr const constructions cons",
-    "consulting": "conslt consultg consult consultants", "dairy": "dairies dry", "electronics": "electronic elec elect", "engineering": "engg engr eng engrs engineers",
-    "fisheries": "fishery fish fsh", "foods": "food fds fd", "furniture": "furnitures furn", "granite": "granites grnt gran", "hardware": "hardwares hdwe hdw",
-    "insurance": "insur ins insurances", "jewellers": "jeweller jewelers jewlrs jwlrs", "laundry": "laundries lndry", "logistics": "logistic logis lgstcs",
-    "manufacturing": "manuf mfg mfrs manufacturers", "motors": "motor mtrs", "nursery": "nurseries nurs", "opticals": "optical opt optics", "packaging": "packg pkg",
-    "pharmacy": "pharm phcy pharma pharmacies", "plumbing": "plumbers plbg", "printing": "printers ptg print", "shipping": "shippers shpg", "software": "softwares sw",
-    "textiles": "textile tex txt", "trading": "traders trdg", "transport": "transp tpt trans transports",
-    "sons": "son", "daughters": "daughter", "brothers": "bros brother", "family": "fam fmly",
-}
-# Short forms of first names.
-NICKNAMES = {
-    "robert": "bob rob bobby robbie", "william": "bill will willy billy willie", "margaret": "peggy maggie meg", "elizabeth": "liz betty eliza lizzie beth", "katherine": "kathy kit kate katie",
-    "alexander": "alex sandy alec", "theodore": "ted theo teddy", "josephine": "josie jo", "frederick": "fritz fred freddy", "dorothea": "dot dora dottie dolly", "nathaniel": "nat nate",
-    "victoria": "tori vicky vicki", "gabrielle": "gaby gab gabby", "henrietta": "etta hetty hattie", "charles": "chuck charlie", "isabella": "bella izzy isa",
-}
 # fixed values end
 
 
@@ -91,74 +74,109 @@ class Name(NamedTuple):
     line: str
 
 
-_SHORT_LINES = {fold(s): k for k, v in LINES.items() for s in [k, *v.split()]}
-_LINE_FOLDS = {fold(k): k for k in LINES}
-_GIVEN = {fold(s): k for k, v in NICKNAMES.items() for s in [k, *v.split()]}
-_GIVEN_FOLDS = {fold(k): k for k in NICKNAMES}
+class Vocabulary(NamedTuple):
+    """Folded generic words of names with the folded word that each stands for: lines of business, and first names."""
+
+    lines: dict[str, str] = {}
+    given: dict[str, str] = {}
+
+
 _DOMAIN = re.compile(r"^(?:https?://)?(?:www\.)?([a-z0-9-]+)(?:\.[a-z]{2,})+/?$")
 _SPLIT = re.compile(r"[^\W_]+")
 _LETTERS = re.compile(r"\b(?:l\W*l\W*[cp]|s\W*a\W*(?:r\W*l|s)?|p\W*(?:vt|riv)?\W+l\W*t\W*d)\W*$")
 _EXTRA = re.compile(r"[‘'`\"]?\b(?:since)\b.*$|\bc\s*/\s*o\b|\bm\s*/\s*s\b|\bd\s*/?\s*b\s*/?\s*a\b")
+_LEGAL_FOLDS = [(w, fold(w)) for w in ("private", "limited", "incorporated", "corporation", "company")]
 
 
 @lru_cache(1 << 17)
-def _word_kind(word: str) -> tuple[str, str]:
-    """What a word of a name is: ``("line" | "given" | "none" | "word", folded form)``."""
+def _folded(word: str) -> str:
+    """A word of a name by its sound; empty if it is a legal form, a filler, or in other than Latin letters."""
     if word in LEGAL or word in FILLER:
-        return "none", ""
+        return ""
     f = fold(word)
-    if f in _SHORT_LINES:
-        return "line", _SHORT_LINES[f]
-    if f in _GIVEN:
-        return "given", _GIVEN[f]
-    if len(f) >= 4:
-        for whole in ("private", "limited", "incorporated", "corporation", "company"):
-            if word[0] == whole[0] and ratio(word, whole) >= 0.85 or f == fold(whole):
-                return "none", ""
-        near = [(max(ratio(f, k), ratio(word, v)), v, "line") for k, v in _LINE_FOLDS.items() if v[0] == word[0] or k[-3:] == f[-3:] and len(f) > 6]
-        near += [(max(ratio(f, k), ratio(word, v)), v, "given") for k, v in _GIVEN_FOLDS.items() if k[0] == f[0] or k[-3:] == f[-3:]]
-        best = max(near, default=(0, "", ""))
-        if best[0] >= 0.8:
-            return best[2], best[1]
-    return "word", f
-
-
-def parse_name(text: str) -> Name:
-    """First name, proper words (folded) and line of business of an organisation's name."""
+    if len(f) >= 4 and any(f == g or word[0] == w[0] and ratio(word, w) >= 0.85 for w, g in _LEGAL_FOLDS):
+        return ""
+    return f if f.isascii() and f.isalpha() else ""
+
+
+def name_tokens(text: str) -> str:
+    """The words of an organisation's name by their sound, each once, and a letter that may be an initial; `@ ` first, if it is an address of the web."""
     text = plain_text(text).strip().replace("™", "")
     m = _DOMAIN.match(text) if "." in text else None
     if m:
         text = m[1]
-    text = _LETTERS.sub(" ", _EXTRA.sub(" ", text))
-    text = text.replace("'", "")
-    given, line, words = "", "", []
+    text = _LETTERS.sub(" ", _EXTRA.sub(" ", text)).replace("'", "")
     tokens = [t for t in _SPLIT.findall(text) if not t.isdigit()]
+    out = {}
     for i, t in enumerate(tokens):
         if len(t) == 1:
-            if not given and len(tokens) > 2 and (i == 0 or f", {t}" in text):
-                given = t
-            continue
-        kind, form = _word_kind(t)
-        if kind == "line":
-            line = form
-        elif kind == "given":
-            given = form
-        elif kind == "word" and form not in words:
-            if len(form) > 10:
-                for k, v in _LINE_FOLDS.items():
-                    if not line and form.endswith(k) and len(form) >= len(k) + 4:
-                        line, form = v, form[: -len(k)]
-                for k, v in _GIVEN_FOLDS.items():
-                    if form.startswith(k) and len(form) >= len(k) + 4:
-                        given, form = v, form[len(k) :]
-                for k, v in _GIVEN.items() if m and not given else ():
-                    if form.startswith(k) and len(k) >= 3 and len(form) >= len(k) + 10:
-                        given, form = v, form[len(k) :]
-            if len(form) >= 2 and form.isascii() and form.isalpha():
-                words.append(form)
-    if not words and given and len(given) > 1 and not line:
-        words, given = [fold(given)], ""
-    return Name(given, tuple(words), line)
+            if len(tokens) > 2 and (i == 0 or f", {t}" in text) and "a" <= t <= "z":
+                out[fold(t)[0]] = None
+        elif f := _folded(t):
+            out[f] = None
+    return ("@ " if m else "") + " ".join(out)
+
+
+class NameParser:
+    """Takes names apart by a vocabulary; words near a generic one are slips of it."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.lines, self.given = vocabulary
+        self.line_ends, self.given_ends = sorted(set(self.lines.values())), sorted(set(self.given.values()))
+        self.known: dict[str, tuple[str, str]] = {}
+
+    def kind(self, f: str) -> tuple[str, str]:
+        """What a folded word is: ``("line" | "given" | "word", the word it stands for)``."""
+        if f in self.lines:
+            return "line", self.lines[f]
+        if f in self.given:
+            return "given", self.given[f]
+        if len(f) < 4:
+            return "word", f
+        got = self.known.get(f)
+        if got is None:
+            near = [(ratio(f, k), k, "line") for k in self.line_ends if k[0] == f[0] or k[-3:] == f[-3:] and len(f) > 6]
+            near += [(ratio(f, k), k, "given") for k in self.given_ends if k[0] == f[0] or k[-3:] == f[-3:]]
+            best = max(near, default=(0, "", ""))
+            if len(self.known) > 1 << 17:
+                self.known.clear()
+            got = self.known[f] = (best[2], best[1]) if best[0] >= 0.8 else ("word", f)
+        return got
+
+    def parse(self, tokens: str) -> Name:
+        """First name, proper words and line of business of a name's tokens."""
+        web = tokens.startswith("@")
+        given, line, words = "", "", []
+        for t in tokens[2:].split() if web else tokens.split():
+            if len(t) == 1:
+                given = given or t
+                continue
+            kind, form = self.kind(t)
+            if kind == "line":
+                line = form
+            elif kind == "given":
+                given = form
+            else:
+                if len(form) > 10:
+                    for k in self.line_ends:
+                        if not line and form.endswith(k) and len(form) >= len(k) + 4 and len(k) >= 4:
+                            line, form = k, form[: -len(k)]
+                    for k in self.given_ends:
+                        if form.startswith(k) and len(form) >= len(k) + 4 and len(k) >= 4:
+                            given, form = k, form[len(k) :]
+                    for k, v in sorted(self.given.items()) if web and not given else ():
+                        if form.startswith(k) and len(k) >= 3 and len(form) >= len(k) + 10:
+                            given, form = v, form[len(k) :]
+                if len(form) >= 2 and form not in words:
+                    words.append(form)
+        if not words and len(given) > 1 and not line:
+            words, given = [given], ""
+        return Name(given, tuple(words), line)
+
+
+def parse_name(text: str, vocabulary: Vocabulary = Vocabulary()) -> Name:
+    """First name, proper words (folded) and line of business of an organisation's name."""
+    return NameParser(vocabulary).parse(name_tokens(text))
 
 
 class Address(NamedTuple):

@@ -19,16 +19,17 @@ from pyspark.sql import functions as F
 
 from loomlink.llm.addresses import gazetteer
 from loomlink.llm.blocks import across_chunks, pairs_within, whole_blocks
-from loomlink.llm.fields import Gazetteer, parse_address, parse_name
+from loomlink.llm.fields import Gazetteer, NameParser, Vocabulary, name_tokens, parse_address
 from loomlink.llm.lcs import TextColumn, lcs_pairs
 from loomlink.llm.names import form_of, suffix_keys
+from loomlink.llm.vocabulary import learn_vocabulary
 from loomlink.session import cut
 
 #: Votes and their numbers of values.
 VOTES = {"name": 5, "line": 3, "given": 4, "number": 4, "street": 3, "town": 3}
 CONTEXT = {"bearers": 3, "neighbours": 3}
 _ANCHOR = 30.0
-_ENTITY = "id bigint, listed boolean, country string, form string, number string, street string, kind string, town string"
+_ENTITY = "id bigint, listed boolean, country string, tokens string, number string, street string, kind string, town string"
 
 
 def _parse(shared):
@@ -45,32 +46,36 @@ def _parse(shared):
                 else:
                     c = c or country.strip()
                     a = parse_address(addr, c, towns)
-                out.append((i, listed, c, form_of(parse_name(name)) if name else "||", a.number, a.street, a.kind, a.town))
-            yield pd.DataFrame(out, columns=["id", "listed", "country", "form", "number", "street", "kind", "town"])
+                out.append((i, listed, c, name_tokens(name) if name else "", a.number, a.street, a.kind, a.town))
+            yield pd.DataFrame(out, columns=["id", "listed", "country", "tokens", "number", "street", "kind", "town"])
 
     return parse
 
 
-def _block_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import xxhash
+def _block_rows(vocabulary: Vocabulary):
+    def block_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
 
-    digest = xxhash.xxh64_intdigest
-    for df in batches:
-        rows, keys = [], []
-        for i, (country, form, number, town) in enumerate(zip(df["country"], df["form"], df["number"], df["town"])):
-            _, line, words = form.split("|")
-            if words:
-                # A record without a country, or with a wrong one, meets the others in its town only.
-                for k in suffix_keys(words.split(), line):
+        digest, parser = xxhash.xxh64_intdigest, NameParser(vocabulary)
+        for df in batches:
+            rows, keys, forms = [], [], []
+            for i, (country, tokens, number, town) in enumerate(zip(df["country"], df["tokens"], df["number"], df["town"])):
+                name = parser.parse(tokens)
+                forms.append(form_of(name))
+                if name.words:
+                    # A record without a country, or with a wrong one, meets the others in its town only.
+                    for k in suffix_keys(name.words, name.line):
+                        rows.append(i)
+                        keys.append(digest(f"{country}:{k}"))
+                if number and town:
                     rows.append(i)
-                    keys.append(digest(f"{country}:{k}"))
-            if number and town:
-                rows.append(i)
-                keys.append(digest(f"{town}#{number}"))
-        at = np.array(rows, np.int64)
-        out = df.iloc[at].drop(columns="country").reset_index(drop=True)
-        out.insert(0, "block", np.array(keys, np.uint64).view(np.int64))
-        yield out
+                    keys.append(digest(f"{town}#{number}"))
+            at = np.array(rows, np.int64)
+            out = df.assign(form=forms).iloc[at][["id", "listed", "form", "number", "street", "kind", "town"]].reset_index(drop=True)
+            out.insert(0, "block", np.array(keys, np.uint64).view(np.int64))
+            yield out
+
+    return block_rows
 
 
 def cast_votes(df: pd.DataFrame, left: np.ndarray, right: np.ndarray) -> dict[str, np.ndarray]:
@@ -148,12 +153,12 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"s1": ids[left][keep], "rid": ids[right][keep], **{n: x[keep].astype(np.int32) for n, x in v.items()}})
 
 
-def candidate_votes(entities: DataFrame, too_common: int = 400) -> DataFrame:
+def candidate_votes(entities: DataFrame, vocabulary: Vocabulary = Vocabulary(), too_common: int = 400) -> DataFrame:
     """``s1, rid`` and a column per vote, for every pair of a listed and another entity that meet in a block.
 
     Blocks of more than ``too_common`` rows are compared in whole, a chunk of their listed entities against a chunk of the others at a time.
     """
-    rows = entities.mapInPandas(_block_rows, "block bigint, id bigint, listed boolean, form string, number string, street string, kind string, town string")
+    rows = entities.mapInPandas(_block_rows(vocabulary), "block bigint, id bigint, listed boolean, form string, number string, street string, kind string, town string")
     schema = "s1 bigint, rid bigint, " + ", ".join(f"{v} int" for v in VOTES)
     blocks = across_chunks(rows, "id", "listed", too_common)
     return blocks.repartition("block").sortWithinPartitions("block").mapInPandas(_candidates, schema).distinct()
@@ -232,15 +237,17 @@ def entities_of(records: DataFrame, places: DataFrame) -> tuple[DataFrame, DataF
     return cut(listed.mapInPandas(_parse(gazetteer(places)), _ENTITY)), chosen.select(F.col("row_id").alias("id"), "entity_id")
 
 
-def link_records(records: DataFrame, places: DataFrame, least: float = 0.5) -> DataFrame:
+def link_records(records: DataFrame, places: DataFrame, least: float = 0.5, nicknames: DataFrame | None = None, vocabulary: Vocabulary | None = None) -> DataFrame:
     """``s1, rid, confidence``: for every entity of ``src`` 2 and 3 the listed entity (``src`` 1) at the same place, if the confidence reaches ``least``.
 
     An entity has at most one, ties by likeness of the name, then by the smaller id. Read are ``row_id, entity_id,
     name, addr, country, src``; NULL, blank and "null" texts abstain; rows without an id are left out; repeated
-    deliveries count as one entity. An entity with neither name nor address matches nothing.
+    deliveries count as one entity. An entity with neither name nor address matches nothing. The ``vocabulary`` of names is
+    learned from them, with the help of ``nicknames(given, nick)``, unless it is given.
     """
     entities, ids = entities_of(records, places)
-    votes = cut(add_context(candidate_votes(entities)))
+    vocabulary = vocabulary or learn_vocabulary(entities.select("tokens"), nicknames)
+    votes = cut(add_context(candidate_votes(entities, vocabulary)))
     names = [*VOTES, *CONTEXT]
     # At most the product of the numbers of values, whatever the data's size.
     patterns = votes.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).orderBy(*names).toPandas()

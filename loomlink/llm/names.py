@@ -1,7 +1,7 @@
 """Variant spellings of names: suffix blocking, then longest common subsequences.
 
-A name is taken apart into first name, proper words by their sound, and line of business; equal results form
-one spelling form, so copies cost nothing. The forms are indexed by suffixes of their words. A suffix alone is
+A name is taken apart into first name, proper words by their sound, and line of business, by a vocabulary that is
+learned from the names themselves; equal results form one spelling form, so copies cost nothing. The forms are indexed by suffixes of their words. A suffix alone is
 far too common in a large table, so it is refined at once by the beginning, or the suffix, of another word of
 the name. The forms of a block are compared in bulk, those of a large one chunk against chunk, so no two forms of
 a block are left out.
@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlink.llm.blocks import compare_blocks, in_chunks
-from loomlink.llm.fields import Name, parse_name
+from loomlink.llm.fields import Name, NameParser, Vocabulary, name_tokens
 from loomlink.llm.lcs import TextColumn, lcs_pairs
+from loomlink.llm.vocabulary import learn_vocabulary
 from loomlink.session import cut
 
 SUFFIX, BESIDE = 4, 3
@@ -49,10 +50,18 @@ def suffix_keys(words: tuple[str, ...] | list[str], line: str = "") -> list[str]
     return list(keys)
 
 
-def parse_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _tokens_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in batches:
-        forms = [form_of(parse_name(n)) if n else "||" for n in df["name"]]
-        yield pd.DataFrame({"gid": df["gid"], "country": df["country"], "form": forms, "spelling": df["spelling"]})
+        yield pd.DataFrame({"gid": df["gid"], "country": df["country"], "tokens": [name_tokens(n) for n in df["name"]], "sp": df["sp"]})
+
+
+def _forms_of(vocabulary: Vocabulary):
+    def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parser = NameParser(vocabulary)
+        for df in batches:
+            yield pd.DataFrame({"gid": df["gid"], "country": df["country"], "form": [form_of(parser.parse(t)) for t in df["tokens"]], "sp": df["sp"]})
+
+    return forms
 
 
 def _keys_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,12 +132,14 @@ def link_beside(forms: DataFrame, links: DataFrame) -> DataFrame:
     return blocks.repartition("block").sortWithinPartitions("block").mapInPandas(compare_blocks(same_name_beside, "block", "form_id"), "a bigint, b bigint")
 
 
-def name_forms(df: DataFrame, key: str, name: str, country: str, spelling: str) -> DataFrame:
-    """``gid, form_id, form, country, spelling`` of the rows with a proper word in their name."""
+def name_forms(df: DataFrame, key: str, name: str, country: str, spelling: str, nicknames: DataFrame | None = None, vocabulary: Vocabulary | None = None) -> DataFrame:
+    """``gid, form_id, form, country, sp`` of the rows with a proper word in their name; ``sp`` is a hash of the spelling."""
     rows = df.select(
-        F.col(key).alias("gid"), F.coalesce(F.col(name), F.lit("")).alias("name"), F.coalesce(F.col(country), F.lit("")).alias("country"), F.coalesce(F.col(spelling), F.lit("")).alias("spelling")
+        F.col(key).alias("gid"), F.coalesce(F.col(name), F.lit("")).alias("name"), F.coalesce(F.col(country), F.lit("")).alias("country"), F.xxhash64(F.coalesce(F.col(spelling), F.lit(""))).alias("sp")
     ).where("gid is not null and name <> ''")
-    parsed = rows.mapInPandas(parse_names, "gid bigint, country string, form string, spelling string").where("not form like '%|'")
+    tokens = cut(rows.mapInPandas(_tokens_of, "gid bigint, country string, tokens string, sp bigint"))
+    vocabulary = vocabulary or learn_vocabulary(tokens, nicknames)
+    parsed = tokens.mapInPandas(_forms_of(vocabulary), "gid bigint, country string, form string, sp bigint").where("not form like '%|'")
     return parsed.withColumn("form_id", F.xxhash64("country", "form"))
 
 
@@ -139,13 +150,16 @@ def link_forms(forms: DataFrame, too_common: int = TOO_COMMON) -> DataFrame:
     return blocks.mapInPandas(compare_blocks(same_name, "block", "form_id"), "a bigint, b bigint").distinct()
 
 
-def link_names(df: DataFrame, key: str = "gid", name: str = "name", country: str = "country", spelling: str = "name_key") -> DataFrame:
+def link_names(
+    df: DataFrame, key: str = "gid", name: str = "name", country: str = "country", spelling: str = "name_key", nicknames: DataFrame | None = None, vocabulary: Vocabulary | None = None
+) -> DataFrame:
     """``gid_a, gid_b`` (a < b): rows of one country whose names are spellings of one organisation's name and whose ``spelling`` differs.
 
     Empty and NULL names, and names without a proper word, link to nothing; NULL countries are one country. Keys
-    are unique bigints. Extra columns are not read.
+    are unique bigints. Extra columns are not read. The ``vocabulary`` is learned from the names, with the help of
+    ``nicknames(given, nick)``, unless it is given.
     """
-    rows = cut(name_forms(df, key, name, country, spelling).select("gid", "form_id", "form", "country", F.xxhash64("spelling").alias("sp")))
+    rows = cut(name_forms(df, key, name, country, spelling, nicknames, vocabulary))
     forms = rows.groupBy("form_id").agg(F.min("form").alias("form"), F.min("country").alias("country"), F.count(F.lit(1)).alias("n"))
     forms = cut(forms)
     links = cut(link_forms(forms))

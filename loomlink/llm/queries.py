@@ -13,7 +13,7 @@ from loomlink.sources import table
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     from loomlink.llm.names import link_names
 
-    return link_names(table(spark, d, "prepared", "gid", "name", "country", "name_key", "split").where("split = 'test'"))
+    return link_names(table(spark, d, "prepared", "gid", "name", "country", "name_key", "split").where("split = 'test'"), nicknames=table(spark, d, "nicknames"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +31,7 @@ def p4_matches(spark: SparkSession, d: str) -> DataFrame:
     from loomlink.llm.linkage import link_records
 
     rows = table(spark, d, "records", "row_id", "entity_id", "name", "addr", "country", "src", "split").where("split = 'test'")
-    return link_records(rows, table(spark, d, "places"))
+    return link_records(rows, table(spark, d, "places"), nicknames=table(spark, d, "nicknames"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from loomlink.llm import addresses, leakage, linkage, names, packing, spans, splits, topn_runs, unicode_forms
 from loomlink.llm.blocks import across_chunks, in_chunks
-from loomlink.llm.fields import Gazetteer, parse_address, parse_name
+from loomlink.llm.fields import Gazetteer, Vocabulary, name_tokens, parse_address, parse_name
+from loomlink.llm.vocabulary import learn_vocabulary
 from loomlink.llm.fm_index import FMIndex
 from loomlink.llm.lcs import TextColumn, lcs, lcs_pairs
 
@@ -19,6 +20,10 @@ PLACES = [("US", "Saint Vibrabon", "North Velland", "NV", "792"), ("US", "Brukre
 PLACE_COLUMNS = "country string, city string, state string, state_code string, pc_prefix string"
 
 
+LINES = {"manufakturing": "mfg manuf", "fuds": "fds", "dairi": "", "motors": "", "sons": ""}
+WORDS = Vocabulary({x: k for k, v in LINES.items() for x in [k, *v.split()]}, {"robert": "robert", "bob": "robert", "viliam": "viliam"})
+
+
 def places(spark):
     return spark.createDataFrame(PLACES, PLACE_COLUMNS)
 
@@ -41,13 +46,31 @@ def test_bulk_lcs_equals_single():
 def test_parse_name():
     assert parse_name("Sazajas Drameegir Pvt. Ltd.") == parse_name("SAZAJAS DRAMIGIR")
     assert parse_name("www.trimoka-vizalis.test").words == ("trimoka", "vijalis")
-    assert parse_name("Bob Aber Cofen & Sons").given == "robert" and parse_name("R. Aber Cofen and Sons Ltd").given == "r"
-    assert parse_name("Trimoka Vizalis Mfg").line == "manufacturing"
-    assert parse_name("Dеnape‎s Foods").words == ("denapes",)
+    assert parse_name("Bob Aber Cofen & Sons", WORDS).given == "robert" and parse_name("R. Aber Cofen and Sons Ltd", WORDS).given == "r"
+    assert parse_name("Trimoka Vizalis Mfg", WORDS).line == parse_name("Trimoka Vizalis Manufcturing", WORDS).line == "manufakturing"
+    assert parse_name("Dеnape‎s Foods", WORDS).words == ("denapes",)
     assert parse_name("").words == () and parse_name("Ltd").words == ()
     assert parse_name("ab " * 5000).words == ("ab",)
 
 
+def test_vocabulary_is_learned(spark):
+    """Lines, first names and their short forms from what they stand with; nothing from a few names."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("bdfgjklmnprstv") + rnd.choice("aeiou") for _ in range(4))
+    rows = []
+    for k in range(900):
+        a, b, line = word(), word(), ("Bakery", "Motors", "Dairy")[k % 3]
+        rows += [f"{a} {b} {line} Ltd", f"{a.upper()} {b} {line if k % 2 else {'Bakery': 'Bkry', 'Motors': 'Mtrs', 'Dairy': 'Dry'}[line]}"]
+        given = ("Robert", "Ann")[k % 2]
+        rows += [f"{given} {b} {a} Inc", f"{'Rob' if given == 'Robert' and k % 4 else given} {b} {a}"]
+    tokens = spark.createDataFrame([(name_tokens(n),) for n in rows], "tokens string")
+    nicknames = spark.createDataFrame([("Robert", "Bob"), (None, "x"), ("Ann", None)], "given string, nick string")
+    v = learn_vocabulary(tokens, nicknames)
+    assert v.lines == {"bakeri": "bakeri", "bkri": "bakeri", "motors": "motors", "mtrs": "motors", "dairi": "dairi", "dri": "dairi"}
+    assert v.given == {"robert": "robert", "rob": "robert", "bob": "robert", "an": "an"}
+    assert learn_vocabulary(tokens.limit(10)) == Vocabulary({}, {}) and learn_vocabulary(tokens.limit(0)) == Vocabulary({}, {})
+
+
 def test_link_names(spark):
     rows = [
         (1, "Trimoka Vizalis Manufacturing Limited", "US", "a"), (2, "TRIMOKA VIZALLIS MFG", "US", "b"), (3, "Trimoka Vizalis Foods", "US", "c"), (4, "Vizalis Trimoka Manuf. Ltd", "US", "d"),
@@ -55,10 +78,10 @@ def test_link_names(spark):
         (10, "Robert Aber Cofen & Sons Inc", "US", "i"), (11, "Trimoka Vizalis Manufacturing Limited", "US", "a"), (12, "तरिमोका विज़ालिस Limited", None, "x"), (13, "y" * 20000, "US", "y"),
     ]
     df = spark.createDataFrame(rows, "gid bigint, name string, country string, name_key string").withColumn("form", F.lit(1)).withColumn("block", F.lit("q"))
-    got = sorted(map(tuple, names.link_names(df).collect()))
+    got = sorted(map(tuple, names.link_names(df, vocabulary=WORDS).collect()))
     assert got == [(1, 2), (1, 4), (2, 4), (2, 11), (4, 11), (8, 10)]
     assert names.link_names(df.limit(0)).count() == 0
-    forms = names.name_forms(df, "gid", "name", "country", "name_key").select("form_id", "form", "country").distinct()
+    forms = names.name_forms(df, "gid", "name", "country", "name_key", vocabulary=WORDS).select("form_id", "form", "country").distinct()
     calm = sorted(map(tuple, names.link_forms(forms).collect()))
     assert sorted(map(tuple, names.link_forms(forms, too_common=2).collect())) == calm
 
@@ -166,7 +189,7 @@ def test_link_records(spark):
         if k % 3 == 0:
             rows += [(300 + k, f"S1-{300 + k}", f"{name} Foods Inc", f"{k + 220} {word()} Lane, {towns[1 - k % 2]}", "US", 1), (400 + k, f"S1-{400 + k}", f"{word()} {word()} Motors Inc", f"{k + 20} {street} Street, {town}", "US", 1)]
     df = spark.createDataFrame(rows, "row_id bigint, entity_id string, name string, addr string, country string, src int").withColumn("s1", F.lit("q")).withColumn("p", F.lit(1))
-    found = linkage.link_records(df, places(spark))
+    found = linkage.link_records(df, places(spark), vocabulary=WORDS)
     got = {r["rid"]: r["s1"] for r in found.collect()}
     assert found.count() == len(got)
     assert got["S2-1"] == "S1-1" and got["S3-2"] == "S1-2" and "S2-3" not in got and "S3-1" not in got
@@ -431,7 +454,7 @@ def test_chunks_lose_no_pair(spark):
 
 def test_names_of_a_common_block(spark):
     """Reordered words with the line of business left out, and slips at both ends, are found however common the words."""
-    forms = ["|manufacturing|trimoka vijalis", "||vijalis trimoka", "||trumoka vijalos", *(f"|{line}|trimoka vijalis" for line in ("foods", "dairy", "motors"))]
+    forms = ["|manufakturing|trimoka vijalis", "||vijalis trimoka", "||trumoka vijalos", *(f"|{line}|trimoka vijalis" for line in ("fuds", "dairy", "motors"))]
     df = spark.createDataFrame([(i, "US", f) for i, f in enumerate(forms)], "form_id bigint, country string, form string")
     calm = sorted(map(tuple, names.link_forms(df).collect()))
     assert (0, 1) in calm
@@ -463,19 +486,19 @@ def test_streets_of_a_very_common_number(spark):
 
 def test_candidates_of_common_blocks(spark):
     """A record without an address, a slip in the number, other words at one address: met in a large block as in a small one."""
-    rows = [(i, i % 2 == 0, "US", "|foods|trimoka vijalis", str(100 + i), f"street{chr(97 + i)}x", "street", "US/a") for i in range(12)]
-    rows += [(20, False, "US", "|foods|trimoka vijalis", "", "", "", ""), (21, False, "US", "|foods|trumoka vijalis", "109", "", "", ""), (22, False, "US", "||vijalis trimoka", "", "", "", "US/a")]
+    rows = [(i, i % 2 == 0, "US", "trimoka vijalis fuds", str(100 + i), f"street{chr(97 + i)}x", "street", "US/a") for i in range(12)]
+    rows += [(20, False, "US", "trimoka vijalis fuds", "", "", "", ""), (21, False, "US", "trumoka vijalis fuds", "109", "", "", ""), (22, False, "US", "vijalis trimoka", "", "", "", "US/a")]
     entities = spark.createDataFrame(rows, linkage._ENTITY)
-    calm = sorted(map(tuple, linkage.candidate_votes(entities).collect()))
+    calm = sorted(map(tuple, linkage.candidate_votes(entities, WORDS).collect()))
     assert {(s, r) for s, r, *_ in calm} >= {(s, r) for s in range(0, 12, 2) for r in (20, 21)}
-    assert sorted(map(tuple, linkage.candidate_votes(entities, too_common=2).collect())) == calm
+    assert sorted(map(tuple, linkage.candidate_votes(entities, WORDS, too_common=2).collect())) == calm
 
 
 def test_candidates_of_a_common_building(spark):
     """Entities of one building whose names share neither beginning nor end meet, however many there are."""
-    rows = [(i, i % 2 == 0, "US", f"||{a}", "7", "hill", "road", "US/a") for i, a in enumerate(("gomada", "pilevu", "trenok", "basulo", "fedriv", "mokanu", "zulpit", "havern"))]
+    rows = [(i, i % 2 == 0, "US", a, "7", "hill", "road", "US/a") for i, a in enumerate(("gomada", "pilevu", "trenok", "basulo", "fedriv", "mokanu", "zulpit", "havern"))]
     entities = spark.createDataFrame(rows, linkage._ENTITY)
-    assert sorted((r["s1"], r["rid"]) for r in linkage.candidate_votes(entities, too_common=2).collect()) == [(s, r) for s in range(0, 8, 2) for r in range(1, 8, 2)]
+    assert sorted((r["s1"], r["rid"]) for r in linkage.candidate_votes(entities, WORDS, too_common=2).collect()) == [(s, r) for s in range(0, 8, 2) for r in range(1, 8, 2)]
 
 
 # 5: letters of any script
