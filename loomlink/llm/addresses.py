@@ -19,27 +19,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlink.llm.blocks import compare_blocks, in_chunks
-from loomlink.llm.fields import Gazetteer, parse_address
+from loomlink.llm.fields import Gazetteer, marked_places, parse_address
 from loomlink.llm.lcs import TextColumn, lcs_pairs
 from loomlink.session import cut
 
 HELD = 0.85
 TOO_COMMON = 1000
 _MOST_PLACES = 1_000_000
+#: A landmark follows at least so many of the words that lead to one, and this share of them.
+LEAST_MARKED, MARKED_SHARE = 10, 0.005
 
 
-def gazetteer(places: DataFrame):
-    """A broadcast of the towns, once their number is found to be within bounds."""
+def learn_landmarks(addresses: DataFrame) -> tuple[str, ...]:
+    """What addresses name as landmarks: the word, or two words, that often follow "near", "behind" and the like in ``addresses(addr)``."""
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            yield pd.DataFrame([p for a in df["addr"] for p in marked_places(a)], columns=["first", "second"], dtype=object)
+
+    marked = addresses.where(F.col("addr").rlike(r"(?i)\b(?:near|nr|at|opp|opposite|behind|beside|next|pr.s|derri.re|c.t.|face)\b"))
+    counts = cut(marked.select("addr").mapInPandas(places, "first string, second string").groupBy("first", "second").agg(F.count(F.lit(1)).alias("n")))
+    per = counts.groupBy("first").agg(F.sum("n").alias("whole"))
+    whole = per.agg(F.sum("whole")).first()[0] or 0
+    least = max(LEAST_MARKED, MARKED_SHARE * whole)
+    # No more than 1 / MARKED_SHARE words can each follow that share.
+    first = dict(map(tuple, per.where(F.col("whole") >= least).collect()))
+    out = set()
+    for a, b, n in counts.where(F.col("n") >= least).collect():
+        if b and n >= 0.5 * first[a]:
+            out.add(f"{a} {b}")
+    return tuple(sorted(out | {a for a in first if not any(p.startswith(a + " ") for p in out)}))
+
+
+def gazetteer(places: DataFrame, addresses: DataFrame | None = None):
+    """A broadcast of the towns, once their number is found to be within bounds, and of the landmarks that ``addresses(addr)`` name."""
     n = places.count()
     if n > _MOST_PLACES:
         raise ValueError(f"{n} places are too many for every task to hold")
     rows = [tuple(r) for r in places.select("country", "city", "state", "state_code", "pc_prefix").where("country is not null and city is not null").collect()]
-    return places.sparkSession.sparkContext.broadcast(sorted(rows, key=str))
+    return places.sparkSession.sparkContext.broadcast((sorted(rows, key=str), learn_landmarks(addresses) if addresses is not None else ()))
 
 
 def _parse(shared):
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        towns = Gazetteer(shared.value)
+        towns = Gazetteer(*shared.value)
         for df in batches:
             got = [parse_address(a, c, towns) for a, c in zip(df["addr"], df["country"])]
             yield pd.DataFrame(
@@ -89,7 +112,7 @@ def building_forms(df: DataFrame, places: DataFrame, key: str, addr: str, countr
         F.col(key).alias("gid"), F.coalesce(F.col(addr), F.lit("")).alias("addr"), F.coalesce(F.col(country), F.lit("")).alias("country"), F.coalesce(F.col(spelling), F.lit("")).alias("spelling")
     ).where("gid is not null and addr <> ''")
     schema = "gid bigint, number string, street string, kind string, town string, spelling string"
-    parsed = rows.mapInPandas(_parse(gazetteer(places)), schema).where("number <> '' and street <> '' and town <> ''")
+    parsed = rows.mapInPandas(_parse(gazetteer(places, rows)), schema).where("number <> '' and street <> '' and town <> ''")
     return parsed.select("gid", "number", "street", "kind", "town", F.xxhash64("spelling").alias("sp"), F.xxhash64("town", "number", "street", "kind").alias("form_id"))
 
 

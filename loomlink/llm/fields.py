@@ -187,22 +187,34 @@ class Address(NamedTuple):
     unit: str
 
 
-# Kinds of streets with the short forms in use, words before a house number, a flat or a landmark, landmarks.
+# Kinds of streets with the short forms in use, words before a house number, a flat or a landmark.
 STREETS = {
     "lane": "ln la", "road": "rd raod", "street": "st str strt", "avenue": "ave av avn", "boulevard": "blvd bvd boul bd bld", "drive": "dr drv", "parkway": "pkwy pky pkw", "court": "ct crt",
     "marg": "mg mrg", "nagar": "ngr nagr", "chowk": "chk chauk", "salai": "sal sali", "rue": "r", "chemin": "che ch chem", "route": "rt rte", "allee": "all", "impasse": "imp", "place": "pl", "quai": "q",
 }
 _UNITS = "suite|ste|unit|floor|fl|flat|shop|bat|batiment|etage|et|apt|room"
 _MARKS = "near|nr|at|opposite|opp|behind|beside|next to|pres de|pres|derriere|a cote d[eu]|face a|en face de|face"
-_LANDMARKS = "clock tower|bus stand|old temple|water tank|grain market|post office|fire station|union mall|ball park|mill pond|gare|halle|mairie|lavoir"
 # fixed values end
 _KINDS = {s: k for k, v in STREETS.items() for s in [k, *v.split()]}
-_AWAY = re.compile(
-    rf"\(1\s*o\)|\bnull\b|\bp\.?\s*o\.?\s*box\W*\d+|\bbharat\b|\bindia\b|\busa?\b|\bfrance\b|\bfr\b|\bpin\b"
-    rf"|(?:\b\d+(?:st|nd|rd|th)\W+)+(?:floor|fl)\b"
-    rf"|\b(?:{_MARKS})\b\.?\W*(?:(?:la|le|l|du|de|the)\W+)*(?:{_LANDMARKS})\b"
-    rf"|\b(?:near|opposite|opp|behind|beside|derriere|a cote d[eu]|face a)\b[^,;]*(?=[,;])"
-)
+_ARTICLES = r"\.?\W*(?:(?:la|le|l|du|de|the)\W+)*"
+_MARKED = re.compile(rf"\b(?:{_MARKS})\b{_ARTICLES}\b([a-z]+)\b(?: ([a-z]+)\b)?")
+
+
+def _away(landmarks: tuple[str, ...]) -> re.Pattern:
+    """What says nothing about the building: countries, box numbers, floors, landmarks."""
+    known = rf"|\b(?:{_MARKS})\b{_ARTICLES}(?:{'|'.join(map(re.escape, landmarks))})\b" if landmarks else ""
+    return re.compile(
+        rf"\(1\s*o\)|\bnull\b|\bp\.?\s*o\.?\s*box\W*\d+|\bbharat\b|\bindia\b|\busa?\b|\bfrance\b|\bfr\b|\bpin\b"
+        rf"|(?:\b\d+(?:st|nd|rd|th)\W+)+(?:floor|fl)\b{known}"
+        rf"|\b(?:near|opposite|opp|behind|beside|derriere|a cote d[eu]|face a)\b[^,;]*(?=[,;])"
+    )
+
+
+def marked_places(text: str) -> list[tuple[str, str]]:
+    """The one or two words (the second may be empty) after each word that leads to a landmark."""
+    return [(m[1], m[2] or "") for m in _MARKED.finditer(_NR.sub(" ", plain_text(text).replace("'", " ")))]
+
+
 _TOWN_WORDS = ("port", "pt", "st", "ste", "saint")
 _NR = re.compile(r"\bnr\b\.?(?=\W*\d)")
 _UNIT = re.compile(rf"(?:\b(?:{_UNITS})\b\W*)+(?:no\W*)?(\d+)\b")
@@ -213,9 +225,10 @@ _ZIP = re.compile(r"(?<!\d)([1-9]\d{2})\d{2}(?:-\d{4})?(?!\d)")
 
 
 class Gazetteer:
-    """Towns of the countries by name and postcode; states are only recognised to be set aside."""
+    """Towns of the countries by name and postcode; states and landmarks are only recognised to be set aside."""
 
-    def __init__(self, rows: list[tuple]):
+    def __init__(self, rows: list[tuple], landmarks: tuple[str, ...] = ()):
+        self.away = _away(landmarks)
         self.by_code, self.by_name, self.names, self.states, self.prints = {}, {}, {}, {}, {}
         for country, city, state, code, prefix in rows:
             words = plain_text(city or "").replace("-", " ").split()
@@ -260,7 +273,7 @@ def parse_address(text: str, country: str, towns: Gazetteer) -> Address:
     s = plain_text(text).replace("º", "o")
     if "'" in s:
         s = s.replace("'", " ")
-    s = _AWAY.sub(" ", _NR.sub(" ", s))
+    s = towns.away.sub(" ", _NR.sub(" ", s))
     unit = ""
     if m := _UNIT.search(s):
         unit = m[1].lstrip("0")

@@ -3,9 +3,8 @@
 Candidates come from name suffixes and from house numbers within towns. On each candidate several heuristic
 functions vote: on the name, the line of business and the first name; on the number and street and on the town;
 on how many listed places bear such a name or stand in such a building. A generative model with two hidden facts,
-"same name" (N) and "same place" (A), learns without labels how often each vote is right, how the votes on
-one fact go together (name with line, number with street), and how the facts go together. The confidence of
-a pair is the posterior of both facts.
+"same name" (N) and "same place" (A), learns without labels how often each vote is right, which votes on
+one fact go together, and how the facts go together. The confidence of a pair is the posterior of both facts.
 """
 
 from __future__ import annotations
@@ -28,13 +27,13 @@ from loomlink.session import cut
 #: Votes and their numbers of values.
 VOTES = {"name": 5, "line": 3, "given": 4, "number": 4, "street": 3, "town": 3}
 CONTEXT = {"bearers": 3, "neighbours": 3}
-_ANCHOR = 30.0
+_ANCHOR = 3.0
 _ENTITY = "id bigint, listed boolean, country string, tokens string, number string, street string, kind string, town string"
 
 
 def _parse(shared):
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        towns = Gazetteer(shared.value)
+        towns = Gazetteer(*shared.value)
         known = {c.lower(): c for c in towns.names}
         for df in batches:
             out = []
@@ -106,12 +105,14 @@ def cast_votes(df: pd.DataFrame, left: np.ndarray, right: np.ndarray) -> dict[st
     table = np.array([[0 if not x and not y else 2 if not x or not y else 1 if x == y or (min(len(x), len(y)) == 1 and x[0] == y[0]) else 3 for y in names] for x in names])
     given_vote = table[ids[left], ids[right]]
     number, has = known(df["number"].tolist())
-    digits = df["number"].tolist()
     number_vote = np.where(has[left] & has[right], np.where(number[left] == number[right], 1, 3), 0)
-    for k in np.flatnonzero(number_vote == 3):
-        a, b = digits[left[k]], digits[right[k]]
-        if len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1:
-            number_vote[k] = 2
+    # One digit that differs, of equally many: a slip.
+    digits = df["number"].to_numpy(object).astype("U") if len(df) else np.zeros(0, "U1")
+    width = max(1, digits.dtype.itemsize // 4)
+    cells, size = np.ascontiguousarray(digits).view(np.uint32).reshape(len(digits), width), np.char.str_len(digits)
+    differ = np.flatnonzero(number_vote == 3)
+    a, b = left[differ], right[differ]
+    number_vote[differ[(size[a] == size[b]) & ((cells[a] != cells[b]).sum(1) == 1)]] = 2
     streets = TextColumn(df["street"].tolist())
     s, t = streets.sizes[left], streets.sizes[right]
     common = lcs_pairs(streets, left, right)
@@ -172,31 +173,66 @@ def add_context(votes: DataFrame) -> DataFrame:
     return votes.join(per, "rid")
 
 
+#: The fact that each vote speaks of, and from which conditional mutual information (nats) on two votes on one fact go together.
+FACTS = {"N": ("name", "line", "given"), "A": ("number", "street", "town")}
+TOGETHER = 0.02
+
+
+def votes_that_go_together(votes: dict[str, np.ndarray], n: np.ndarray, joint: np.ndarray) -> list[tuple[str, tuple[str, ...]]]:
+    """Groups of votes on one fact that depend on each other though the fact is known: ``(fact, votes)``, learned from the cases.
+
+    ``joint`` is the chance of each state of the facts (N, A) for the vote patterns, which stand for ``n`` cases each.
+    """
+    out = []
+    for fact, names in FACTS.items():
+        true = joint[:, 2] + joint[:, 3] if fact == "N" else joint[:, 1] + joint[:, 3]
+        group = {v: {v} for v in names}
+        for i, x in enumerate(names):
+            for y in names[i + 1 :]:
+                mutual = 0.0
+                for weight in (n * true, n * (1 - true)):
+                    table = np.zeros((VOTES[x], VOTES[y]))
+                    np.add.at(table, (votes[x], votes[y]), weight)
+                    p = table / max(weight.sum(), 1e-300)
+                    apart = p.sum(1, keepdims=True) * p.sum(0, keepdims=True)
+                    some = p > 0
+                    mutual += weight.sum() / n.sum() * float((p[some] * np.log(p[some] / apart[some])).sum())
+                if mutual >= TOGETHER and group[x] is not group[y]:
+                    both = group[x] | group[y]
+                    for v in both:
+                        group[v] = both
+        out += [(fact, g) for g in sorted({tuple(v for v in names if v in g) for g in group.values()})]
+    return out
+
+
 def fit_label_model(patterns: pd.DataFrame, rounds: int = 60) -> np.ndarray:
     """Posterior of (N, A) = (1, 1) for each row of distinct vote patterns with their counts ``n``.
 
     Expectation-maximisation; the start is a plain reading of the votes. The chances that this start gives count as
-    ``_ANCHOR`` further cases of each kind, so that few candidates can't turn the facts' meaning.
+    ``_ANCHOR`` further cases for each case, so that the cases can correct them but not turn the facts' meaning.
+    Votes on one fact that are found to depend on each other have a joint table, the others one each.
     """
     if not len(patterns):
         return np.zeros(0)
     p = {c: patterns[c].to_numpy() for c in (*VOTES, *CONTEXT)}
     n = patterns["n"].to_numpy().astype(float)
-    # Code of the votes that go together, number of codes, the fact they speak of, whether they say anything, and whether it
-    # is asked for: how many bear the name only matters without an address, how many stand there only without a name.
-    every = np.ones(len(n), bool)
-    groups = [
-        ((p["name"] * 3 + p["line"]) * 4 + p["given"], 60, "N", p["name"] > 0, every),
-        (p["number"] * 3 + p["street"], 12, "A", (p["number"] > 0) | (p["street"] > 0), every),
-        (p["town"], 3, "A", p["town"] > 0, every),
-        (p["bearers"], 3, "NA", p["name"] > 0, p["number"] == 0),
-        (p["neighbours"], 3, "NA", every, p["name"] == 0),
-    ]
     bad = (p["line"] == 2) | (p["given"] == 3) | (p["name"] == 4)
     said_n = np.select([bad, np.isin(p["name"], (1, 2)), p["name"] == 3], [0.005, 0.995, 0.6], 0.5)
     wrong = (p["number"] == 3) | (p["street"] == 2) | (p["town"] == 2)
     said_a = np.select([wrong, (p["number"] == 1) & (p["street"] == 1), (p["number"] == 2) | (p["street"] == 1)], [0.005, 0.995, 0.7], 0.5)
     joint = np.stack([(1 - said_n) * (1 - said_a), (1 - said_n) * said_a, said_n * (1 - said_a), said_n * said_a], 1)
+    # Code of the votes that go together, number of codes, the fact they speak of, whether they say anything, and whether it
+    # is asked for: how many bear the name only matters without an address, how many stand there only without a name.
+    every = np.ones(len(n), bool)
+    groups = []
+    for fact, names in votes_that_go_together(p, n, joint):
+        code, k, speaks = np.zeros(len(n), np.int64), 1, np.zeros(len(n), bool)
+        for v in names:
+            code, k = code * VOTES[v] + p[v], k * VOTES[v]
+            # Whether there are words of a name decides whether the rest of it can speak.
+            speaks |= p[v] > 0 if fact == "A" else p["name"] > 0
+        groups.append((code, k, fact, speaks, every))
+    groups += [(p["bearers"], 3, "NA", p["name"] > 0, p["number"] == 0), (p["neighbours"], 3, "NA", every, p["name"] == 0)]
     state = {"N": np.array([0, 0, 1, 1]), "A": np.array([0, 1, 0, 1]), "NA": np.array([0, 1, 2, 3])}
     anchor: list[np.ndarray] = []
     for _ in range(rounds):
@@ -204,18 +240,15 @@ def fit_label_model(patterns: pd.DataFrame, rounds: int = 60) -> np.ndarray:
         prior = weight.sum(0) + 1
         log = np.log(prior / prior.sum())[None, :].repeat(len(n), 0)
         for g, (code, k, on, speaks, asked) in enumerate(groups):
-            m = state[on].max() + 1
-            table = np.full((m, k), 0.5)
-            if len(anchor) > g:
-                table = _ANCHOR * anchor[g]
+            table = np.full((state[on].max() + 1, k), 0.5)
             for s in range(4):
                 np.add.at(table[state[on][s]], code[speaks], weight[speaks, s])
-            table /= table.sum(1, keepdims=True)
             if len(anchor) <= g:
-                anchor.append(table)
+                anchor.append(_ANCHOR * table)
+            else:
+                table += anchor[g]
+            table /= table.sum(1, keepdims=True)
             log += np.where((speaks & asked)[:, None], np.log(table[state[on]][:, code]).T, 0.0)
-        # Names that are not alike, or conflict, are not the same name, however the other votes go together.
-        log[bad[:, None] & (state["N"] == 1)] = -np.inf
         log -= log.max(1, keepdims=True)
         new = np.exp(log)
         new /= new.sum(1, keepdims=True)
@@ -234,7 +267,7 @@ def entities_of(records: DataFrame, places: DataFrame) -> tuple[DataFrame, DataF
     chosen = rows.groupBy("entity_id").agg(best.alias("r")).select("entity_id", "r.*")
     chosen = cut(chosen)
     listed = chosen.select(F.col("row_id").alias("id"), (F.col("src") == 1).alias("listed"), "name", "addr", "country").repartition(F.col("id"))
-    return cut(listed.mapInPandas(_parse(gazetteer(places)), _ENTITY)), chosen.select(F.col("row_id").alias("id"), "entity_id")
+    return cut(listed.mapInPandas(_parse(gazetteer(places, chosen)), _ENTITY)), chosen.select(F.col("row_id").alias("id"), "entity_id")
 
 
 def link_records(records: DataFrame, places: DataFrame, least: float = 0.5, nicknames: DataFrame | None = None, vocabulary: Vocabulary | None = None) -> DataFrame:

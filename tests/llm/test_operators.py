@@ -146,7 +146,7 @@ def test_merge_of_runs_that_come_in_chunks():
 
 
 def test_parse_address():
-    g = Gazetteer(PLACES)
+    g = Gazetteer(PLACES, ("clock tower",))
     a = parse_address("1948 Shetetru Street, Saint Vibrabon, NV 79276", "US", g)
     assert (a.number, a.street, a.kind, a.town) == ("1948", "shetetru", "street", "US/saintvibrabon")
     for other in ("01948 SHETETRU ST., ST. VIBRABON, NORTH VELLAND", "No. 1948, Shetetru Str; 79276-2932; NV", "Suite 7, 1948 Shetetru Street, Near Clock Tower, Saint Vibrabon"):
@@ -157,6 +157,23 @@ def test_parse_address():
     assert parse_address("", "US", g) == ("", "", "", "", "") and parse_address("x" * 30000, "", g).town == ""
 
 
+def test_landmarks_are_learned(spark):
+    rows = [(f"{i} Hill Road, Near Clock Tower Town{i % 7}",) for i in range(40)] + [(f"{i} rue Tol, derrière la Gare Ville{chr(97 + i % 20)}",) for i in range(40)] + [("at 7 Hill Road",), (None,), ("",)] * 30
+    df = spark.createDataFrame(rows, "addr string").where("addr is not null")
+    assert addresses.learn_landmarks(df) == ("clock tower", "gare")
+    assert addresses.learn_landmarks(df.limit(3)) == () and addresses.learn_landmarks(df.limit(0)) == ()
+
+
+def test_dependent_votes_are_found():
+    rnd = np.random.default_rng(5)
+    n, same, there = 4000, rnd.random(4000) < 0.5, rnd.random(4000) < 0.5
+    noise = rnd.random(n) < 0.3
+    votes = {"name": np.where(same ^ noise, 1, 4), "line": np.where(same ^ noise, 1, 2), "given": np.where(same ^ (rnd.random(n) < 0.3), 1, 3)}
+    votes |= {v: np.where(there ^ (rnd.random(n) < 0.2), 1, 2) for v in ("number", "street", "town")}
+    joint = np.stack([(same == a) & (there == b) for a in (False, True) for b in (False, True)], 1).astype(float)
+    assert linkage.votes_that_go_together(votes, np.ones(n), joint) == [("N", ("given",)), ("N", ("name", "line")), ("A", ("number",)), ("A", ("street",)), ("A", ("town",))]
+
+
 def test_link_addresses(spark):
     rows = [
         (1, "1948 Shetetru Street, Saint Vibrabon, NV 79276", "US", "a"), (2, "01948 SHETETRO ST, ST. VIBRABON", "US", "b"), (3, "1949 Shetetru Street, Saint Vibrabon", "US", "c"),
