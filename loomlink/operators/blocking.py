@@ -109,11 +109,10 @@ def union_wide(cands: DataFrame, retrievers: tuple[str, ...] = RETRIEVERS) -> Da
 def with_competition(wide: DataFrame, retrievers: tuple[str, ...] = RETRIEVERS) -> DataFrame:
     """``s1_n_cands, s1_rank_best, s1_gap_best``: where a pair's best score stands among its S1's candidates."""
     best = F.greatest(*(F.col(f"blk_{r}_score") for r in retrievers))
-    s1 = Window.partitionBy("s1")
     df = wide.withColumn("best", F.coalesce(best, F.lit(0.0)))
-    return df.select(
-        *wide.columns, F.count(F.lit(1)).over(s1).alias("s1_n_cands"), F.row_number().over(s1.orderBy(F.desc("best"), "rid")).alias("s1_rank_best"), (F.col("best") - F.max("best").over(s1)).alias("s1_gap_best")
-    )
+    per = df.groupBy("s1").agg(F.count(F.lit(1)).alias("s1_n_cands"), F.max("best").alias("top"))
+    rank = F.row_number().over(Window.partitionBy("s1").orderBy(F.desc("best"), "rid"))
+    return df.withColumn("s1_rank_best", rank).join(per, "s1").select(*wide.columns, "s1_n_cands", "s1_rank_best", (F.col("best") - F.col("top")).alias("s1_gap_best"))
 
 
 def recall_report(cands: DataFrame, truth: DataFrame) -> DataFrame:

@@ -61,3 +61,37 @@ def apply_rule(pairs: DataFrame, rule: str, countries: DataFrame | None = None)
     if base.startswith("expF"):
         return select_expected_f(column_normalize(pairs, margin=float(base[6:]) if base.startswith("expF_m") else None))
     raise ValueError(f"no such rule: {rule}")
+
+
+def merge_by_country(scores: DataFrame, base: DataFrame, countries: list[str]) -> DataFrame:
+    """Scores ``(s1, rid, country, p)``: of the ``countries`` from ``scores``, of all others from ``base``."""
+    mine = F.col("country").isin(countries)
+    return scores.where(mine).unionByName(base.where(~F.coalesce(mine, F.lit(False))))
+
+
+def cut_candidates(df: DataFrame, first: DataFrame, least: float) -> DataFrame:
+    """The pairs of ``df`` whose score ``p1`` in ``first(s1, rid, p1)`` reaches ``least``."""
+    return df.join(first.where(F.col("p1") >= least).select("s1", "rid"), ["s1", "rid"], "left_semi")
+
+
+def sweep_rules(pairs: DataFrame, truth: DataFrame, all_s1: DataFrame, rules: list[str], mix: dict[str, float], others: DataFrame | None = None) -> DataFrame:
+    """``rule, macro_f05, mixed_f05, n_pred`` of every rule on ``pairs(s1, rid, p)``, scored over ``all_s1(s1, country)``.
+
+    ``others`` are pairs of S1s that are not scored but compete for the records all the same.
+    """
+    from loomlink.operators.metric import macro_f05, mixed_f05, per_entity_f05
+
+    every, out = pairs.select("s1", "rid", "p"), None
+    if others is not None:
+        every = every.unionByName(others.select("s1", "rid", "p").join(all_s1.select("s1"), "s1", "left_anti"))
+    for rule in rules:
+        per = per_entity_f05(apply_rule(every, rule, all_s1).join(all_s1.select("s1"), "s1", "left_semi"), truth.join(all_s1.select("s1"), "s1", "left_semi"), all_s1)
+        # Three aggregates of one row each.
+        row = macro_f05(per).crossJoin(mixed_f05(per, all_s1, mix)).crossJoin(per.agg(F.sum("n_pred").alias("n_pred"))).select(F.lit(rule).alias("rule"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def best_rule(results: DataFrame, by: str = "mixed_f05") -> str:
+    """The rule with the best result, ties by name."""
+    return results.orderBy(F.desc_nulls_last(by), "rule").first()["rule"]

@@ -16,6 +16,41 @@ def in_band(p, band: tuple[float, float]):
     return (F.col(p) > band[0]) & (F.col(p) < band[1])
 
 
+def between_bands(p, wide: tuple[float, float], core: tuple[float, float]):
+    """Inside the wide band but outside the one in its middle."""
+    return in_band(p, wide) & ~in_band(p, core)
+
+
+def disagreement(p: str = "p", logit: str = "ce"):
+    """How far a probability is from another scorer's logit; NULL where that has none."""
+    return F.abs(F.col(p) - 1 / (1 + F.exp(-F.col(logit))))
+
+
+#: Columns that the stacked models see beside the context of p (fixed values).
+STACK_BASE = (
+    "blk_comb_rev_rank", "blk_comb_rev_score", "rec_addr_empty", "rec_src", "name_key_eq", "name_tset", "addr_tset", "v2_rec_vocab_share", "v2_num_first_eq", "v2_words_tsort", "p1",
+)
+S1_CONTEXT = ("s3_logit", "s3_rank", "s3_gap_best", "s3_sum", "s3_n_05", "s3_n_09", "s3_second")
+RECORD_CONTEXT = ("r_n_claim", "r_sum", "r_max_other", "r_gap_other", "r_rank")
+GROUP_CONTEXT = ("g_name_max", "g_name_mean", "g_addr_max", "g_n_conf", "g_n_conf_same_src")
+RARE_WORDS = tuple(f"i_{k}_{x}" for k in "na" for x in ("wjac", "wcov", "rarest", "nrare")) + ("i_pin_conflict",)
+
+
+def stack_features(stage: int) -> list[str]:
+    """The feature list of a stacked model: 3 the S1's and the record's context with the group's, 4 the score of stage 2 as well."""
+    base = ["p", *S1_CONTEXT, *STACK_BASE, *RECORD_CONTEXT, "ce", *GROUP_CONTEXT, *RARE_WORDS, "dis_ce"]
+    return base if stage == 3 else [*base, "p_s2"]
+
+
+def stack_frame(scores: DataFrame, records: DataFrame, extra: DataFrame, ce: DataFrame) -> DataFrame:
+    """``scores(s1, rid, p)`` of all competitors with their context, the other scorer's logit ``ce`` and the ``extra`` columns of the pair."""
+    base = scores.select("s1", "rid", "p")
+    df = record_context(s1_context(base)).join(ce.select("s1", "rid", "ce"), ["s1", "rid"], "left")
+    for more in (group_context(base, records), rare_word_features(base, records), extra):
+        df = df.join(more, ["s1", "rid"], "left")
+    return df.withColumn("dis_ce", disagreement())
+
+
 def sides(pairs: DataFrame, records: DataFrame, columns: list[str]) -> DataFrame:
     """``pairs`` with the columns of both records, prefixed ``a_`` (s1) and ``b_`` (rid)."""
     side = lambda key, pre: records.select(F.col("gid").alias(key), *(F.col(c).alias(pre + c) for c in columns))
@@ -60,14 +95,18 @@ def pair_features(pairs: DataFrame, records: DataFrame) -> DataFrame:
     return add_competition(df.withColumn("cmp_score", score)).drop(*(c for c in df.columns if c.startswith(("a_", "b_"))))
 
 
+def beside(df: DataFrame, key: str, **aggregates) -> DataFrame:
+    """``df`` with aggregates over each ``key``, by partial sums and a join: a key with very many rows is never in one task for them."""
+    return df.join(df.groupBy(key).agg(*(a.alias(n) for n, a in aggregates.items())), key)
+
+
 def add_competition(df: DataFrame, score: str = "cmp_score") -> DataFrame:
     """How a pair's ``score`` stands among its S1's candidates; ties in rank by ``rid``."""
-    s1 = Window.partitionBy("s1")
-    return df.withColumns(
-        {
-            "cmp_n_cand_s1": F.count(F.lit(1)).over(s1), "cmp_rank_in_s1": F.row_number().over(s1.orderBy(F.desc(score), "rid")), "cmp_rank_min": F.rank().over(s1.orderBy(F.desc(score))),
-            "cmp_gap_to_best_s1": F.col(score) - F.max(score).over(s1), "cmp_gap_to_mean_s1": F.col(score) - F.avg(score).over(s1),
-        }
+    s1, columns = Window.partitionBy("s1"), df.columns
+    df = beside(df, "s1", cmp_n_cand_s1=F.count(F.lit(1)), _best=F.max(score), _mean=F.avg(score))
+    return df.select(
+        *columns, "cmp_n_cand_s1", F.row_number().over(s1.orderBy(F.desc(score), "rid")).alias("cmp_rank_in_s1"), F.rank().over(s1.orderBy(F.desc(score))).alias("cmp_rank_min"),
+        (F.col(score) - F.col("_best")).alias("cmp_gap_to_best_s1"), (F.col(score) - F.col("_mean")).alias("cmp_gap_to_mean_s1"),
     )
 
 
@@ -111,17 +150,16 @@ def finer_pair_features(pairs: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def s1_context(df: DataFrame, p: str = "p") -> DataFrame:
-    """``s3_`` columns: a pair's ``p`` among its S1's candidates. With one candidate the second best is its own."""
-    s1 = Window.partitionBy("s1")
+    """``s3_`` columns: a pair's ``p`` among its S1's candidates. With one candidate the second best is its own.
+
+    Sums, counts and the best come from partial aggregates; only the rank needs an S1's rows in order.
+    """
+    s1, columns = Window.partitionBy("s1"), df.columns
     clipped = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(p)))
-    place = F.row_number().over(s1.orderBy(F.desc(p), "rid"))
-    df = df.withColumn("_place", place)
-    return df.withColumns(
-        {
-            "s3_logit": F.log(clipped / (1 - clipped)), "s3_rank": F.rank().over(s1.orderBy(F.desc(p))), "s3_gap_best": F.max(p).over(s1) - F.col(p), "s3_sum": F.sum(p).over(s1),
-            "s3_n_05": F.count_if(F.col(p) >= 0.5).over(s1), "s3_n_09": F.count_if(F.col(p) >= 0.9).over(s1), "s3_second": F.min(F.when(F.col("_place") <= 2, F.col(p))).over(s1),
-        }
-    ).drop("_place")
+    df = df.withColumn("s3_rank", F.rank().over(s1.orderBy(F.desc(p))))
+    df = beside(df, "s1", _best=F.max(p), s3_sum=F.sum(p), s3_n_05=F.count_if(F.col(p) >= 0.5), s3_n_09=F.count_if(F.col(p) >= 0.9), _firsts=F.count_if(F.col("s3_rank") == 1), _next=F.max(F.when(F.col("s3_rank") > 1, F.col(p))))
+    second = F.when(F.col("_firsts") > 1, F.col("_best")).otherwise(F.coalesce("_next", "_best"))
+    return df.select(*columns, F.log(clipped / (1 - clipped)).alias("s3_logit"), "s3_rank", (F.col("_best") - F.col(p)).alias("s3_gap_best"), "s3_sum", "s3_n_05", "s3_n_09", second.alias("s3_second"))
 
 
 def record_context(df: DataFrame, p: str = "p") -> DataFrame:

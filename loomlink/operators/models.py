@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomlink.operators.decide import one_owner
 from loomlink.operators.sampling import fold, top_per_group
+from loomlink.session import cut
 
 
 def with_indicators(df: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]]:
@@ -114,3 +115,64 @@ def score_pairs(pairs: DataFrame, load: Callable[[], Callable[[pd.Series, pd.Ser
             yield pd.DataFrame({"s1": df["s1"], "rid": df["rid"], out: scorer(df["text_a"], df["text_b"])})
 
     return pairs.select("s1", "rid", "text_a", "text_b").mapInPandas(work, f"s1 bigint, rid bigint, {out} double")
+
+
+def fit(df: DataFrame, columns: list[str], kind: str = "gbt", seed: int = 0, rounds: int = 20, valid: str | None = None) -> tuple[PipelineModel, int]:
+    """A model fitted on ``columns``, and its rounds of boosting; with a boolean column ``valid`` boosting stops when those rows get no better."""
+    if kind != "gbt":
+        return estimator(columns, kind, seed).fit(df.where(~F.col(valid)) if valid else df), rounds
+    more = {"maxIter": rounds} | ({"validationIndicatorCol": valid} if valid else {})
+    model = estimator(columns, kind, seed, **more).fit(df)
+    return model, model.stages[-1].getNumTrees
+
+
+def cross_validate(df: DataFrame, features: list[str], k: int = 3, fold_seed: int = 0, seeds: int = 1, kind: str = "gbt", rounds: int = 20, stop_early: bool = True, out: str = "p") -> tuple[DataFrame, list[PipelineModel], int]:
+    """``s1, rid, out`` out of fold, the fold models of every seed, and their mean rounds.
+
+    ``df(s1, rid, label, keep, weight, ...)``: only rows to ``keep`` are fitted on, all are scored. Within a fold the models
+    of the seeds are averaged. Without both kinds of label elsewhere a fold gets the share of matches there.
+    """
+    rows, columns = with_indicators(df.withColumn("_fold", fold("s1", k, fold_seed)), features)
+    rows = cut(rows.select("s1", "rid", "label", "keep", "weight", "_fold", *columns))
+    seen = {r["_fold"]: (r["n"], r["t"]) for r in rows.where("keep").groupBy("_fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("t")).collect()}
+    scored, fitted, used = None, [], []
+    for i in range(k):
+        n, true = (sum(v[c] for f, v in seen.items() if f != i) for c in (0, 1))
+        part = rows.where(F.col("_fold") == i)
+        if 0 < true < n:
+            ours = []
+            for s in range(seeds):
+                model, trees = fit(rows.where("keep").withColumn("_valid", F.col("_fold") == i) if stop_early else rows.where(F.col("keep") & (F.col("_fold") != i)), columns, kind, s, rounds, "_valid" if stop_early else None)
+                ours.append(model)
+                used.append(trees)
+                part = probability(model, part, f"_s{s}")
+            fitted += ours
+            part = part.withColumn(out, sum((F.col(f"_s{s}") for s in range(1, seeds)), F.col("_s0")) / seeds)
+        else:
+            part = part.withColumn(out, F.lit(float(true) / n if n else 0.0))
+        part = part.select("s1", "rid", out)
+        scored = part if scored is None else scored.unionByName(part)
+    return scored, fitted, round(sum(used) / len(used)) if used else rounds
+
+
+def final_fit(df: DataFrame, features: list[str], rounds: int, kind: str = "gbt", seed: int = 0) -> PipelineModel | None:
+    """A model of all rows to ``keep``, a tenth more rounds than the folds took; None without both kinds of label."""
+    rows, columns = with_indicators(df.where("keep"), features)
+    n, true = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
+    return fit(rows, columns, kind, seed, max(1, round(1.1 * rounds)))[0] if true and true < n else None
+
+
+def apply_models(fitted: list[PipelineModel], df: DataFrame, features: list[str], out: str = "p") -> DataFrame:
+    return fold_average([m for m in fitted if m is not None], df, features, out)
+
+
+def save_models(spark, fitted: list[PipelineModel], features: list[str], path: str) -> None:
+    """The models and the list of their features, so that they can score elsewhere."""
+    for i, m in enumerate(fitted):
+        m.write().overwrite().save(f"{path}/model_{i}")
+    spark.createDataFrame([(len(fitted), features)], "n int, features array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/features")
+
+
+def load_models(spark, path: str) -> tuple[list[PipelineModel], list[str]]:
+    row = spark.read.schema("n int, features array<string>").json(f"{path}/features").first()
+    return [PipelineModel.load(f"{path}/model_{i}") for i in range(row["n"])], list(row["features"])

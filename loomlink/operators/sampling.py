@@ -38,3 +38,14 @@ def thin_negatives(df: DataFrame, p: str, label: str, keep_one_in: int = 10, bel
     easy = (F.col(label) == 0) & (F.col(p) < below)
     picked = F.pmod(F.xxhash64(F.lit(seed), "s1", "rid"), F.lit(keep_one_in)) == 0
     return df.where(~easy | picked).withColumn("weight", F.when(easy, float(keep_one_in)).otherwise(1.0))
+
+
+def capped_by_key(df: DataFrame, key: str, cap: int, seed: int = 3, parts: int = 1000) -> DataFrame:
+    """All rows if they are at most ``cap``; else those of a hash slice of the keys that holds about so many, every key with all its rows."""
+    n = df.count()
+    return df if n <= cap else df.where(key_hash(key, seed) % parts < parts * cap // n)
+
+
+def in_order(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows in one order whatever the plan before, in ranges of the keys: for work in repeatable pieces."""
+    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
