@@ -38,7 +38,9 @@ def generic_words(words: DataFrame, names: int) -> tuple[set[str], set[str]]:
     kinds = dict(map(tuple, placed.limit(_MOST_WORDS + 1).collect()))
     if len(kinds) > _MOST_WORDS:
         raise ValueError("too many generic words for every task to hold")
-    met = places.where(F.col("w").isin(*sorted(kinds))) if kinds else places.limit(0)
+    if not kinds:
+        return set(), set()
+    met = places.where(F.col("w").isin(*sorted(kinds)))
     beside = met.select("w", F.explode(F.array("before", "after")).alias("v")).where("v is not null").distinct().groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     found = {r["w"] for r in beside.where(F.col("n") >= least).select("w").collect()}
     return {x for x in found if kinds[x]}, {x for x in found if not kinds[x]}
@@ -48,13 +50,14 @@ def full_forms(words: DataFrame, lines: set[str], given: set[str]) -> dict[str,
     """The more frequent word that a generic word stands for, if there is one."""
     if not lines and not given:
         return {}
-    generic = F.array(*(F.lit(x) for x in sorted(lines | given)))
-    split = words.select(F.array_except("words", generic).alias("proper"), F.array_intersect("words", generic).alias("own")).where("size(proper) >= 2 and size(own) > 0")
+    generic = sorted(lines | given)
+    own, proper = F.filter("words", lambda x: x.isin(*generic)), F.filter("words", lambda x: ~x.isin(*generic))
+    split = words.select(proper.alias("proper"), own.alias("own")).where("size(proper) >= 2 and size(own) > 0")
     stands = split.select(F.xxhash64(F.array_join(F.array_sort("proper"), " ")).alias("base"), F.explode("own").alias("w"))
-    rows = stands.groupBy("base", "w").agg(F.count(F.lit(1)).alias("n"))
+    rows = cut(stands.groupBy("base", "w").agg(F.count(F.lit(1)).alias("n")))
     # A set holds generic words only, so it is no larger than the vocabulary.
     sets = rows.groupBy("base").agg(F.collect_list("w").alias("ws"), F.count(F.lit(1)).alias("k")).where("k > 1").select("ws")
-    pairs = sets.select("ws", F.explode("ws").alias("a")).select("a", F.explode("ws").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    pairs = cut(sets.select("ws", F.explode("ws").alias("a")).select("a", F.explode("ws").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
     whole = pairs.where("a = b").select("a", F.col("n").alias("whole"))
     often = {r["w"]: r["n"] for r in rows.groupBy("w").agg(F.sum("n").alias("n")).collect()}
     close = pairs.where("a <> b").join(F.broadcast(whole), "a").where(F.col("n") >= TOGETHER * F.col("whole")).select("a", "b", "n").collect()
