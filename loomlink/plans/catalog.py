@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from loomlink.functions import similarity as sim
 from loomlink.functions import text as tx
-from loomlink.operators import blocking, decide, features, metric, models, sampling, translit
+from loomlink.operators import blocking, decide, features, metric, models, prepare, sampling, translit
+from loomlink.plans import linkage
 from loomlink.sources import files, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,6 +168,12 @@ def apply_romanisation(spark, d):
     return translit.add_roman(p, table(spark, d, "translit_table", "ind", "lat"), {"name_norm": "name_roman"}, "gid")
 
 
+@query()
+def prepared_records(spark, d):
+    """The raw deliveries prepared from the start, with the given romanisations."""
+    return prepare.prepared(table(spark, d, "records", "entity_id", "name", "addr", "country", "src"), table(spark, d, "translit_table", "ind", "lat")).drop("gid")
+
+
 # Similarities
 
 
@@ -380,7 +387,20 @@ def group_context(spark, d):
     return rounded(features.group_context(scores(spark, d), table(spark, d, "prepared", "gid", "src", "name_roman", "addr_roman")))
 
 
-@query()
+_RARE = (
+    f"with {SCORES}, tgt as (select s1, rid from sc where p > 0.001 and p < 0.999), n as (select count(*) as n from prepared), wd as (select gid, 'n' as kind, unnest(list_distinct(string_split(name_roman, ' '))) as t from prepared "
+    "union all select gid, 'a', unnest(list_distinct(string_split(addr_roman, ' '))) from prepared), df as (select kind, t, ln(any_value(n)) - ln(count(*) + 1) as idf from wd, n where length(t) >= 2 group by kind, t), "
+    "wi as (select gid, kind, t, idf from wd join df using (kind, t)), sd as (select s1, rid, kind, t, idf, 1 as side from tgt join wi on gid = s1 union all select s1, rid, kind, t, idf, 2 from tgt join wi on gid = rid), "
+    "b as (select s1, rid, kind, t, max(idf) as idf, min(side) as lo, max(side) as hi from sd group by s1, rid, kind, t), su as (select s1, rid, kind, sum(idf) as u, coalesce(sum(idf) filter (lo = 1), 0) as a, "
+    "coalesce(sum(idf) filter (lo = 1 and hi = 2), 0) as i, max(idf) filter (lo = 1 and hi = 2) as r, count(*) filter (lo = 1 and hi = 2 and idf > 8) as c from b group by s1, rid, kind), "
+    "pn as (select gid, nullif(regexp_extract(addr_roman, '\\b([1-9][0-9]{5})\\b', 1), '') as pin from prepared) select tgt.s1, tgt.rid, "
+    + ", ".join(f"case when {k}.u > 0 then round({k}.i / {k}.u, 6) end as i_{k}_wjac, case when {k}.a > 0 then round({k}.i / {k}.a, 6) end as i_{k}_wcov, round({k}.r, 6) as i_{k}_rarest, coalesce({k}.c, 0)::bigint as i_{k}_nrare" for k in "na")
+    + ", (pa.pin <> pb.pin)::bigint as i_pin_conflict from tgt left join su n on n.s1 = tgt.s1 and n.rid = tgt.rid and n.kind = 'n' left join su a on a.s1 = tgt.s1 and a.rid = tgt.rid and a.kind = 'a' "
+    "left join pn pa on pa.gid = tgt.s1 left join pn pb on pb.gid = tgt.rid"
+)
+
+
+@query(_RARE)
 def rare_words(spark, d):
     return rounded(features.rare_word_features(scores(spark, d), table(spark, d, "prepared", "gid", "name_roman", "addr_roman")))
 
@@ -429,6 +449,55 @@ def rule_expected_f(spark, d):
     return decide.apply_rule(scores(spark, d), "expF")
 
 
+@query(f"with {SCORES} select s1, rid from sc where p > 0.001 and p < 0.999 and not (p > 0.01 and p < 0.99)")
+def band_difference(spark, d):
+    return scores(spark, d).where(features.between_bands("p", features.IDF_BAND, (0.01, 0.99))).select("s1", "rid")
+
+
+@query(f"with {SCORES} select s1, rid, round(abs(p - 1 / (1 + exp(-(4 * p - 1)))), 6) as dis_ce from sc where p > 0.02 union all select s1, rid, null from sc where p <= 0.02")
+def score_disagreement(spark, d):
+    s = scores(spark, d).withColumn("ce", F.when(F.col("p") > 0.02, 4 * F.col("p") - 1))
+    return rounded(s.select("s1", "rid", features.disagreement().alias("dis_ce")))
+
+
+@query(f"with {SCORES}, {WIDE}, b as (select s1, rid, {_BEST} as best from w) select s1, rid, round(p, 6) as p from sc join b using (s1, rid) where best >= 0.5")
+def candidate_cut(spark, d):
+    best = F.coalesce(F.greatest(*(F.col(f"blk_{r}_score") for r in blocking.RETRIEVERS)), F.lit(0.0))
+    first = blocking.union_wide(table(spark, d, "cands")).select("s1", "rid", best.cast("double").alias("p1"))
+    return rounded(decide.cut_candidates(scores(spark, d), first, 0.5).select("s1", "rid", "p"))
+
+
+@query(f"with {SCORES} select s1, rid, country, round(case when country = 'France' then p else p * p end, 6) as p from sc")
+def merged_countries(spark, d):
+    s = scores(spark, d)
+    return rounded(decide.merge_by_country(s, s.withColumn("p", F.col("p") * F.col("p")), ["France"]))
+
+
+_RULES = ["thr0.3", "thr0.6", "greedy0.3", "greedy0.6"]
+
+
+@query(
+    f"with {TRUTH_GID}, {WIDE}, la as (select distinct a.gid as s1, a.country as co from train_matches m join prepared a on a.entity_id = trim(m.source1_entity_id)), b as (select s1, rid, {_BEST} as p from w), "
+    "o as (select * from (select *, row_number() over (partition by rid order by p desc, s1) as n from b) where n = 1), pr as ("
+    + " union all ".join(f"select '{r}' as rule, s1, rid from {'b' if r.startswith('thr') else 'o'} where p >= {r[3:] if r.startswith('thr') else r[6:]}" for r in _RULES)
+    + "), ru as (select unnest([" + ", ".join(f"'{r}'" for r in _RULES) + "]) as rule), np as (select rule, s1, count(*) as n_pred from pr group by rule, s1), nt as (select s1, count(*) as n_true from tg group by s1), "
+    "hp as (select rule, s1, count(*) as tp from pr join tg using (s1, rid) group by rule, s1), pe as (select ru.rule, la.s1, la.co, coalesce(n_pred, 0) as n_pred, "
+    "case when n_pred is null and n_true is null then 1.0 else 1.25 * coalesce(tp, 0) / (coalesce(n_pred, 0) + 0.25 * coalesce(n_true, 0)) end as f from ru cross join la left join np on np.rule = ru.rule and np.s1 = la.s1 "
+    "left join nt on nt.s1 = la.s1 left join hp on hp.rule = ru.rule and hp.s1 = la.s1), bc as (select rule, co, avg(f) as f from pe group by rule, co), m(co, w) as (values ('US', 0.383), ('India', 0.467), ('France', 0.150)), "
+    "mx as (select rule, sum(f * w) / sum(w) as mixed from bc join m using (co) group by rule) select rule, round(avg(f), 6) as macro_f05, round(any_value(mixed), 6) as mixed_f05, sum(n_pred)::bigint as n_pred from pe join mx using (rule) group by rule"
+)
+def rule_sweep(spark, d):
+    best = F.coalesce(F.greatest(*(F.col(f"blk_{r}_score") for r in blocking.RETRIEVERS)), F.lit(0.0))
+    pairs = blocking.union_wide(table(spark, d, "cands")).select("s1", "rid", best.cast("double").alias("p"))
+    return rounded(decide.sweep_rules(pairs, _truth_gid(spark, d), _labelled_s1(spark, d), _RULES, MIX))
+
+
+def _labelled_s1(spark, d) -> DataFrame:
+    p = table(spark, d, "prepared", "gid", "entity_id", "country").select(F.col("gid").alias("s1"), "entity_id", "country")
+    lists = table(spark, d, "train_matches", "source1_entity_id").select(F.trim("source1_entity_id").alias("entity_id")).distinct()
+    return p.join(lists, "entity_id", "left_semi").select("s1", "country")
+
+
 # Metrics and checks
 
 
@@ -543,6 +612,41 @@ def combined_scores(spark, d):
     return rounded(models.combine_scores([a, b]))
 
 
+@query(f"select gid, ({_HASH.replace('0:', '11:').format(k='gid')} % 3)::bigint as fold from prepared where src = 1")
+def inner_folds(spark, d):
+    return rounded(table(spark, d, "prepared", "gid", "src").where("src = 1").select("gid", sampling.fold("gid", seed=11).alias("fold")))
+
+
+@query(f"with c as (select distinct s1, rid from cands where s1 is not null and rid is not null), n as (select count(*) as n from c) select s1, rid from c, n where {_HASH.replace('0:', '3:').format(k='s1')} % 1000 < 1000 * 2000 // n")
+def capped_subset(spark, d):
+    return sampling.capped_by_key(_pairs(spark, d), "s1", 2000)
+
+
+def _run(spark, d) -> linkage.Run:
+    """A run over the test tables with their candidates, logistic models and no folder of its own."""
+    p = table(spark, d, "prepared")
+    listed = p.where("src = 1").select(F.col("gid").alias("s1"), "split")
+    cands = {s: table(spark, d, "cands").join(listed.where(F.col("split") == s), "s1", "left_semi") for s in ("train", "test")}
+    config = linkage.LinkConfig(d, "", "", kind="lr", stage1_share=1.0, mix=MIX)
+    return linkage.Run(spark, config, p, p, _truth_gid(spark, d), _labelled_s1(spark, d).select("s1"), cands)
+
+
+@query()
+def stage1_pruned(spark, d):
+    return rounded(_run(spark, d).pruned("test").select("s1", "rid", "p1"))
+
+
+@query()
+def stage2_scores(spark, d):
+    return rounded(_run(spark, d).scores("train", 2))
+
+
+@query()
+def stage4_choice(spark, d):
+    """The rules by their worth on the stacked scores of the labelled rows."""
+    return rounded(_run(spark, d).evaluate(4))
+
+
 # Relational groundwork on the star schema
 
 
@@ -572,6 +676,13 @@ def semi_and_anti_join(spark, d):
     return kept.join(table(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("c_nationkey")), "c_nationkey", "left_semi").select("c_custkey", "c_name")
 
 
+@query("select s_suppkey, s_name from supplier where s_nationkey in (select n_nationkey from nation where n_regionkey < 3) and s_nationkey not in (select c_nationkey from customer where c_acctbal > 9900)")
+def supplier_semi_and_anti(spark, d):
+    s = table(spark, d, "supplier", "s_suppkey", "s_name", "s_nationkey")
+    kept = s.join(table(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("s_nationkey")), "s_nationkey", "left_semi")
+    return kept.join(table(spark, d, "customer", "c_nationkey", "c_acctbal").where("c_acctbal > 9900").select(F.col("c_nationkey").alias("s_nationkey")), "s_nationkey", "left_anti").select("s_suppkey", "s_name")
+
+
 @query(
     "select o_orderkey, o_custkey, row_number() over w as place, round(sum(o_totalprice) over (w rows unbounded preceding), 2) as running, round(o_totalprice - max(o_totalprice) over (partition by o_custkey), 2) as gap "
     "from orders window w as (partition by o_custkey order by o_totalprice desc, o_orderkey)"

@@ -8,7 +8,7 @@ import pytest
 from loomlink.plans.catalog import QUERIES, SQL
 
 #: Fitted models take a while; they have their own tests.
-SLOW = {"oof_scores", "fold_averages"}
+SLOW = {"oof_scores", "fold_averages", "stage1_pruned", "stage2_scores", "stage4_choice"}
 
 
 def plain(rows):
