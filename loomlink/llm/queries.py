@@ -160,4 +160,6 @@ SQL: dict[str, str] = {
     "p8_found": _LEAKS + "select doc_id, item_id from f",
     "p8_clean": _LEAKS + "select doc_id from documents where doc_id not in (select doc_id from f)",
     "p9_found": _SPANS,
+    "p9_share": f"with sp as ({_SPANS}), z as (select doc_id, max(coalesce(length(text), 0))::bigint as n_chars from documents group by doc_id), y as (select doc_id, sum(end_at - begin_at)::bigint as s from sp group by doc_id) "
+    "select doc_id, n_chars, coalesce(s, 0)::bigint as n_shared, case when n_chars > 0 then round(coalesce(s, 0) / n_chars, 6) else 0.0 end as share from z left join y using (doc_id)",
 }
