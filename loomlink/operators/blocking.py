@@ -130,15 +130,19 @@ def missed(truth: DataFrame, cands: DataFrame) -> DataFrame:
     return truth.join(cands.select("s1", "rid"), ["s1", "rid"], "left_anti")
 
 
+# From which likeness names and addresses count as similar, and as changed, and what the cases are called.
+SIMILAR_NAME, CHANGED_NAME, SIMILAR_ADDRESS = 80, 50, 60
+MISSES = ("blank addr, name similar", "blank addr, name changed", "both similar (crowded out)", "renamed, addr similar", "name similar, addr damaged", "both damaged")
+# fixed values end
+
+
 def diagnose(miss: DataFrame, records: DataFrame) -> DataFrame:
     """``miss`` with ``ns, as, cat``: why a true pair was not found, from the likeness of names and addresses."""
     from loomlink.functions.similarity import token_set_ratio
 
     side = lambda key, n: records.select(F.col("gid").alias(key), F.col("name_roman").alias("n" + n), F.col("addr_roman").alias("a" + n))
     df = miss.join(side("s1", "1"), "s1").join(side("rid", "2"), "rid").withColumn("ns", token_set_ratio(F.col("n1"), F.col("n2"))).withColumn("as", token_set_ratio(F.col("a1"), F.col("a2")))
-    blank, ns, as_ = F.col("a2") == "", F.col("ns"), F.col("as")
-    cat = (
-        F.when(blank & (ns >= 80), "blank addr, name similar").when(blank, "blank addr, name changed").when((ns >= 80) & (as_ >= 60), "both similar (crowded out)")
-        .when((ns < 50) & (as_ >= 60), "renamed, addr similar").when(ns >= 80, "name similar, addr damaged").otherwise("both damaged")
-    )
+    blank, near, there = F.col("a2") == "", F.col("ns") >= SIMILAR_NAME, F.col("as") >= SIMILAR_ADDRESS
+    tests = (blank & near, blank, near & there, (F.col("ns") < CHANGED_NAME) & there, near)
+    cat = F.coalesce(*(F.when(t, name) for t, name in zip(tests, MISSES)), F.lit(MISSES[-1]))
     return df.withColumn("cat", cat).drop("n1", "a1", "n2", "a2")

@@ -75,9 +75,9 @@ def native_pair_features(pairs: DataFrame, records: DataFrame) -> DataFrame:
         *(F.when(~blank, addr[k]).alias(f"addr_{k}") for k in addr),
         F.when(numbered, nums).alias("addr_num_jac"), F.when(numbered, flag(first("a_addr_nums") == first("b_addr_nums"))).alias("addr_num_first_eq"),
         flag(F.col("b_addr_nums") != "").alias("rec_has_nums"), flag(blank).alias("rec_addr_empty"), F.col("b_src").cast("int").alias("rec_src"), F.col("b_n_indic_unknown").cast("int").alias("rec_indic_unknown"),
-        flag(tx.has_indic(F.col("b_name"))).alias("rec_indic"), flag(F.col("b_name").rlike(r"(?i)\.(com|in|net|org|co|fr)\b")).alias("rec_domain"),
-        flag(F.col("b_name").rlike(r"^\s*(<<|>>|--)")).alias("rec_junk"), flag(F.col("b_name").rlike(r"[()\[\]]")).alias("rec_paren"),
-        flag(F.col("b_name").contains("  ")).alias("rec_dblspace"), flag(F.lower("b_name") == F.col("b_name")).alias("rec_lower"), flag(F.col("a_name").rlike(r"^\s*(<<|>>|--)")).alias("s1_junk"),
+        flag(tx.has_indic(F.col("b_name"))).alias("rec_indic"), flag(F.col("b_name").rlike(tx.DOMAIN_NAME)).alias("rec_domain"),
+        flag(F.col("b_name").rlike(tx.JUNK_NAME)).alias("rec_junk"), flag(F.col("b_name").rlike(tx.BRACKETED_NAME)).alias("rec_paren"),
+        flag(F.col("b_name").contains("  ")).alias("rec_dblspace"), flag(F.lower("b_name") == F.col("b_name")).alias("rec_lower"), flag(F.col("a_name").rlike(tx.JUNK_NAME)).alias("s1_junk"),
     )
 
 
@@ -92,7 +92,8 @@ def pair_features(pairs: DataFrame, records: DataFrame) -> DataFrame:
             scores[f"{pre}_{kind}"] = f(F.col("a_" + column), F.col("b_" + column))
     df = df.withColumns(scores).withColumns({c: F.when(~blank, F.col(c)) for c in ("addr_ratio", "addr_tset", "addr_partial")})
     score = (F.col("name_tset") + F.col("key_ratio") + F.coalesce("addr_tset", "name_tset")) / 300
-    return add_competition(df.withColumn("cmp_score", score)).drop(*(c for c in df.columns if c.startswith(("a_", "b_"))))
+    wanted = [c for c in df.columns if not c.startswith(("a_", "b_"))]
+    return add_competition(df.select(*wanted, score.alias("cmp_score")))
 
 
 def beside(df: DataFrame, key: str, **aggregates) -> DataFrame:
