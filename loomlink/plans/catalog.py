@@ -248,8 +248,8 @@ _GRAMS = (
 @query(f"with {_GRAMS}, r as (select *, row_number() over (partition by country, q order by score desc, i) as rank from sc) select country, q, i, score, rank from r where rank <= 3")
 def topk_name_join(spark, d):
     p = table(spark, d, "prepared", "gid", "country", "src", "name_key")
-    v = blocking.postings(p, "gid", "name_key", "country").join(p.select("gid", "src"), "gid")
-    return rounded(blocking.topk_join(v.where("src <> 1"), v.where("src = 1"), 3, "country", "gid", "gid", digits=4))
+    rows, fields = blocking.by_key(p, "country", "gid", ["name_key"], F.col("src")), {"name_key": False}
+    return rounded(blocking.topk_texts(rows.where("src <> 1"), rows.where("src = 1"), blocking.gram_weights(rows, "country", fields), 3, "country", "gid", fields, digits=4))
 
 
 @query()

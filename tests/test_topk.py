@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomlink.operators import blocking, topk
+from loomlink.plans.catalog import QUERIES
 
 
 def odd_records(n=160):
@@ -96,3 +97,8 @@ def crowd(n=300):
 def test_retrieve_moves_no_pairs(spark):
     df = spark.createDataFrame(crowd(), SCHEMA)
     assert shuffled(spark, lambda: blocking.retrieve(df).collect()) < 20_000
+
+
+def test_topk_name_join_moves_no_pairs(spark, tmp_path):
+    spark.createDataFrame(crowd(), SCHEMA).write.parquet(str(tmp_path / "prepared.parquet"))
+    assert shuffled(spark, lambda: QUERIES["topk_name_join"](spark, str(tmp_path)).collect()) < 5_000
