@@ -6,7 +6,7 @@ import numpy as np
 
 #: Stands between the texts of one key; no gram spans it.
 SEP = "\U0010ffff"
-_LEVELS, _GROUPS, _CELLS, _LONG, _AGAIN = 24, 1024, 1 << 18, 512, 0.12
+_LEVELS, _GROUPS, _CELLS, _LONG, _AGAIN = 24, 1024, 1 << 18, 200, 0.12
 
 
 def gram_codes(texts: list[str], in_words: bool) -> tuple[np.ndarray, np.ndarray]:
