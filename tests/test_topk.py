@@ -102,3 +102,15 @@ def test_retrieve_moves_no_pairs(spark):
 def test_topk_name_join_moves_no_pairs(spark, tmp_path):
     spark.createDataFrame(crowd(), SCHEMA).write.parquet(str(tmp_path / "prepared.parquet"))
     assert shuffled(spark, lambda: QUERIES["topk_name_join"](spark, str(tmp_path)).collect()) < 5_000
+
+
+def test_retrieve_searches_in_the_jvm(spark, monkeypatch):
+    """Many small chunks of the index, each with the floor of those before it, and no Python for pairs."""
+    monkeypatch.setattr(blocking, "ROWS_AT_ONCE", 30)
+    df = spark.createDataFrame(crowd(), SCHEMA)
+    k = {"addr_fwd": 7, "comb_fwd": 7, "comb_rev": 2}
+    found = blocking.retrieve(df, k)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapPartitions" in plan and "Arrow" not in plan and "Pandas" not in plan
+    got = sorted((r["s1"], r["rid"], r["retriever"], round(r["score"], 5), r["rank"]) for r in found.collect())
+    assert got == plain_retrieve(df, k)
